@@ -81,7 +81,7 @@ def frequent_order(docs: DataFrame, params: JoinParams) -> np.ndarray:
     """Frequent shingles of a fixed share of the documents, rarest first: at most ``order_size``."""
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=4 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts(b), params.words)[0].view(np.int64))], ["h"])
 
     part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(params.order_rate)) == 0)
@@ -98,7 +98,7 @@ def shingled(docs: DataFrame, params: JoinParams) -> DataFrame:
 
     def run(batches):
         known, place = sent.value
-        for b in slices(batches):
+        for b in slices(batches, limit=4 << 20):
             h, at = shingle_sets(texts(b), params.words)
             n = np.diff(at)
             rank = np.full(len(h), -1, np.int64)
@@ -175,7 +175,7 @@ def measured(docs: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame
         for b in batches:
             place = pc.fill_null(b.column("place"), 0).to_numpy(zero_copy_only=False)
             hit = (bits[place >> 6] >> (place & 63)) & 1 == 1
-            for part in slices([b.filter(pa.array(hit))]):
+            for part in slices([b.filter(pa.array(hit))], limit=4 << 20):
                 h, at = shingle_sets(texts(part), params.words)
                 sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(h)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets.cast(pa.binary())], ["id", "members"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import bpe, jaccard, langid, rules
-from veilframe.llm.common import table
+from veilframe.llm.common import small_batches, table
 
 
 def word_vocabulary() -> str:
@@ -30,5 +32,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_bpe, op7_language_id, op9_ngram_jaccard_join)}
+def _bounded(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (op2_quality_rules, op6_bpe, op7_language_id, op9_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {}
