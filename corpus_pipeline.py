@@ -2,6 +2,60 @@
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from veilframe.llm import jaccard, langid, lines, packing, rules
+from veilframe.llm.common import small_batches, staged, table
+from veilframe.llm.queries import word_vocabulary
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language of the corpus."""
+    small_batches(spark)
+    return langid.filter_known(docs)
+
+
+def fit_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    small_batches(spark)
+    return rules.accepted(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest doc_id."""
+    small_batches(spark)
+    return jaccard.one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines and sentences that an earlier document has."""
+    small_batches(spark)
+    return lines.deduplicated(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences, with their ids."""
+    small_batches(spark)
+    return packing.pieces(docs, word_vocabulary())
+
+
+STAGES = [("language", known_language), ("quality", fit_quality), ("near_copies", without_copies), ("repeats", without_repeats), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its pieces without the ids themselves, whose checksums stay."""
+    return run(spark, sf_dir).drop("ids")
+
+
+#: Stages 7, 9, 10 and 3 can't be put in SQL; tests hold them against brute force.
+ORACLE_SQL = None
+QUERIES = {"pipeline": pipeline}
 ORACLES: dict[str, str] = {}

@@ -30,6 +30,10 @@ COMMON = {
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("lang").cast("string"), F.col("text").cast("string"))
+
+
 @dataclass(frozen=True)
 class RuleParams:
     min_words: int = 30
@@ -47,11 +51,11 @@ def common_list() -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars array, common array."""
-    d = only(docs, doc_id="long", lang="string", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    """doc_id, row_key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars array, common array."""
+    d = only(docs, doc_id="long", lang="string", text="string").withColumn("row_key", row_key()).withColumn("text", F.coalesce("text", F.lit("")))
     stripped = F.regexp_replace("text", "[a-z]+", "")
     d = d.select(
-        "doc_id", "lang", F.length("text").alias("n_chars"),
+        "doc_id", "row_key", "lang", F.length("text").alias("n_chars"),
         F.array_remove(F.split("text", f"{SPACE}+"), "").alias("ws"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("ls"),
         stripped.alias("rest"),
@@ -79,7 +83,7 @@ def counts(docs: DataFrame) -> DataFrame:
     long = lambda c: c.cast("long")
     classes = [F.col("n_chars") - F.col("n1"), F.col("n1") - F.col("n2"), F.col("n2") - F.col("n3"), F.col("n3") - F.col("n4"), F.col("n4") - F.col("n5"), F.col("n_sym"), F.col("n5") - F.col("n_sym")]
     return d.select(
-        "doc_id", "lang", long(F.col("n_words")).alias("n_words"), long(F.length(F.array_join("ws", ""))).alias("word_chars"), long(F.col("n_sym")).alias("n_symbols"),
+        "doc_id", "row_key", "lang", long(F.col("n_words")).alias("n_words"), long(F.length(F.array_join("ws", ""))).alias("word_chars"), long(F.col("n_sym")).alias("n_symbols"),
         long(F.size("ls") - F.size(F.array_distinct("ls"))).alias("n_dup_lines"), long(F.col("covered")).alias("n_repeat_words"),
         F.array(*[long(c) for c in classes]).alias("chars"),
         F.expr("transform(array(transform(list, w -> cast(size(cl) - size(array_remove(cl, w)) AS bigint))), c -> concat(c, array(n_words - aggregate(c, 0L, (a, x) -> a + x))))[0]").alias("common"),
@@ -104,11 +108,26 @@ def references(features: DataFrame, params: RuleParams) -> DataFrame:
     return good.groupBy(F.col("lang").alias("ref_lang")).agg(F.count("*").alias("n_ref"), total("chars", 7).alias("ref_chars"), total("common", 17).alias("ref_common")).filter(F.col("n_ref") >= params.min_reference).drop("n_ref")
 
 
-def judge(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """doc_id, the base counts, base_failed, char_distance, word_distance, kept of each row."""
+def verdicts(docs: DataFrame, params: RuleParams) -> DataFrame:
     features = staged(counts(docs), "rules")
     d = features.join(references(features, params), F.col("lang") == F.col("ref_lang"), "left")
     enough = (F.col("n_words") >= params.min_words) & F.col("ref_lang").isNotNull()
     d = d.withColumn("char_distance", F.when(enough, distance("chars", "ref_chars"))).withColumn("word_distance", F.when(enough, distance("common", "ref_common")))
     near = F.coalesce((F.col("char_distance") <= params.max_char_distance) & (F.col("word_distance") <= params.max_word_distance), F.lit(True))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "char_distance", "word_distance", (~base_failed() & near).alias("kept"))
+    return d.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & near)
+
+
+def judge(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
+    """doc_id, the base counts, base_failed, char_distance, word_distance, kept of each row."""
+    return verdicts(docs, params).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+
+
+def accepted(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep; same columns.
+
+    Rejections come back by doc_id and a hash of the row, so rows that share a doc_id but not a text stay apart.
+    """
+    out = verdicts(docs, params).filter(~F.col("kept")).select(F.col("doc_id").alias("out_id"), F.col("row_key").alias("out_key")).distinct()
+    keyed = docs.withColumn("_row_key", row_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("out_id")) & (F.col("_row_key") == F.col("out_key"))
+    return keyed.join(out, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
