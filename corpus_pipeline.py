@@ -5,37 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import jaccard, langid, lines, packing, rules
-from veilframe.llm.common import small_batches, staged, table
+from veilframe.llm.common import drop_staged, small_batches, staged, table
 from veilframe.llm.queries import word_vocabulary
 
 
+def _begin(spark: SparkSession, docs: DataFrame) -> None:
+    """A stage starts when its predecessor's result is written: tables that only that one needed can go."""
+    small_batches(spark)
+    drop_staged(spark, docs)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language of the corpus."""
-    small_batches(spark)
+    _begin(spark, docs)
     return langid.filter_known(docs)
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    small_batches(spark)
+    _begin(spark, docs)
     return rules.accepted(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id."""
-    small_batches(spark)
+    _begin(spark, docs)
     return jaccard.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines and sentences that an earlier document has."""
-    small_batches(spark)
+    _begin(spark, docs)
     return lines.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the sequences, with their ids."""
-    small_batches(spark)
+    _begin(spark, docs)
     return packing.pieces(docs, word_vocabulary())
 
 

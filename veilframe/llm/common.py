@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 
 
+#: Paths of the staged tables that are still there, oldest first.
+MADE: list[str] = []
+
+
+def drop_staged(spark: SparkSession, needed: DataFrame | None = None) -> None:
+    """Delete all staged tables but those that ``needed`` reads.  For callers who have written their earlier results."""
+    read = needed.inputFiles() if needed is not None and MADE else []
+    for path in MADE[:]:
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in read):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            MADE.remove(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
@@ -37,6 +52,7 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ from veilframe.llm.common import mix64, only, ranges, slices, staged, string_has
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Order and batch sizes change the work, never the result.
+    """Order and batch sizes change the work, never the result.  ``broadcast_rows`` ids and digests take some 20 MB.
 
     The order counts shingles in one of ``order_rate`` documents and puts at most ``order_size`` frequent ones last.
     Regions of up to ``small`` members compare all of them at once.
@@ -45,6 +45,7 @@ class JoinParams:
     order_size: int = 1 << 18
     small: int = 16
     pivots: int = 16
+    broadcast_rows: int = 400_000
 
 
 def shingle_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +214,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def representatives(rows: DataFrame, reps: DataFrame, params: JoinParams) -> DataFrame:
+    """doc_id, n, common, prefix of one document of each class.
+
+    Where the copies to leave out are few by count, their ids are broadcast and the wide rows stay where they are;
+    otherwise both sides are dealt by class and id.
+    """
+    keys = rows.filter("n > 0").select("doc_id", "cls").join(reps, "cls").filter("doc_id <> rep").select("doc_id", "cls").distinct()
+    copies = staged(keys, "copies")
+    wanted = ["doc_id", "n", "common", "prefix"]
+    if copies.count() <= params.broadcast_rows:
+        return rows.filter("n > 0 AND doc_id IS NOT NULL").join(F.broadcast(copies), ["doc_id", "cls"], "left_anti").select(*wanted)
+    return rows.join(reps, (rows.cls == reps.cls) & (rows.doc_id == reps.rep)).select(*wanted)
+
+
 def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, cls, n; members: cls, rep; measured pairs of class representatives)."""
     d = only(docs, doc_id="long", text="string")
     rows = staged(shingled(d, params), "shingles")
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    first = rows.join(reps, (rows.cls == reps.cls) & (rows.doc_id == reps.rep)).select("doc_id", "n", "common", "prefix")
+    first = representatives(rows, reps, params)
     regions = staged(region_rows(first, params), "regions")
     pairs = staged(first_pairs(regions, params), "pairs")
     found = staged(measured(d, pairs, params), "measured")
