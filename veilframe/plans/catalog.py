@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from veilframe.plans import element_queries, raster_queries, table_queries, text_queries
+from veilframe.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "deid_flagship"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "element_queries", "raster_queries", "table_queries", "text_queries"]
