@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -19,15 +21,18 @@ SLICE_BYTES = 8 << 20
 MADE: list[str] = []
 
 
-def drop_staged(spark: SparkSession, needed: DataFrame | None = None) -> None:
-    """Delete all staged tables but those that ``needed`` reads.  For callers who have written their earlier results."""
-    read = needed.inputFiles() if needed is not None and MADE else []
-    for path in MADE[:]:
-        name = path.rsplit("/", 1)[1]
-        if not any(f"/{name}/" in f for f in read):
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-            MADE.remove(path)
+def drop_staged(spark: SparkSession, paths: list[str], needed: DataFrame | None = None) -> list[str]:
+    """Delete staged tables, but those that ``needed`` reads; returns the paths that are left."""
+    read = needed.inputFiles() if needed is not None and paths else []
+    left = []
+    for path in paths:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in read):
+            left.append(path)
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        MADE.remove(path)
+    return left
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +75,21 @@ def only(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
+@functools.lru_cache(1)
+def _trim():
+    """The C library's way to give freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return memory that this worker no longer uses; a pool that keeps its peak would add up beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
     """Arrow batches cut so that ``column`` of each piece has at most ``limit`` bytes (one row at least)."""
     for batch in batches:
@@ -84,6 +104,7 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+            give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

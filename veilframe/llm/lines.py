@@ -100,16 +100,16 @@ def runs(found: list[dict], run_words: int) -> list[tuple[int, int, int, int]]:
 
 def dedup(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
     """All columns of ``docs`` with the repeats out of ``text``, and removed, n_removed (characters)."""
-    found = repeats(docs, params).withColumnRenamed("doc_id", "found_doc")
+    found = repeats(docs, params).select(F.col("doc_id").alias("_found_doc"), F.col("found").alias("_found"))
     keep = [f for f in docs.schema.fields if f.name not in ("removed", "n_removed")]
-    d = docs.select(*[F.col(f"`{f.name}`") for f in keep]).join(found, F.col("doc_id").cast("long") == F.col("found_doc"), "left").drop("found_doc")
+    d = docs.select(*[F.col(f"`{f.name}`") for f in keep]).join(found, F.col("doc_id").cast("long") == F.col("_found_doc"), "left").drop("_found_doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + f", removed {REMOVED}, n_removed bigint"
     kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "kept_doc", "kept_start")]))
 
     def run(batches):
         for b in slices(batches):
             text, removed, total = [], [], []
-            for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
+            for t, f in zip(b.column("text").to_pylist(), b.column("_found").to_pylist(), strict=True):
                 cuts = runs(f, params.run_words) if f and t else []
                 if cuts:
                     parts, at = [], 0

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, jaccard, jpeg, langid, licenses, lines, packing, rules, sharding, sites
+from veilframe.llm import bpe, jaccard, jpeg, langid, licenses, lines, oracles, packing, rules, sharding, sites
 from veilframe.llm.common import small_batches, table
 
 
@@ -75,4 +75,4 @@ OPERATORS = (
     op7_language_id, op8_license_scan, op9_ngram_jaccard_join, op10_unit_dedup,
 )
 QUERIES = {f.__name__: _bounded(f) for f in OPERATORS}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

@@ -119,7 +119,7 @@ def verdicts(docs: DataFrame, params: RuleParams) -> DataFrame:
 
 def judge(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """doc_id, the base counts, base_failed, char_distance, word_distance, kept of each row."""
-    return verdicts(docs, params).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+    return verdicts(docs, params).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), "kept")
 
 
 def accepted(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
