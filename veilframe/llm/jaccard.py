@@ -229,7 +229,7 @@ def representatives(rows: DataFrame, reps: DataFrame, params: JoinParams) -> Dat
 
 
 def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, cls, n; members: cls, rep; measured pairs of class representatives)."""
+    """(rows: doc_id, cls, n; members: cls, rep; components of linked representatives: id, comp)."""
     d = only(docs, doc_id="long", text="string")
     rows = staged(shingled(d, params), "shingles")
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
@@ -241,13 +241,13 @@ def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[Data
     links = found.filter(near).select("a", "b")
     large = regions.filter(F.col("size") > params.small)
     if not large.limit(1).count():
-        return rows, reps, links
+        return rows, reps, components(links)
     # the first pivot's distance is each member's coordinate for the triangle window
     by_pair = found.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("d"))
     large = large.withColumn("a", F.least("doc", "pivot.doc")).withColumn("b", F.greatest("doc", "pivot.doc")).join(by_pair, ["a", "b"], "left").filter("doc <> pivot.doc").select("s", "doc", "n", "pos", "d")
     left, m = staged(large, "large"), params.pivots
+    comps = components(links)
     while True:
-        comps = components(links)
         own = left.join(comps.select(F.col("id").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         w = Window.partitionBy("s")
         own = own.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo < hi").withColumn("mine", F.count("*").over(Window.partitionBy("s", "comp")))
@@ -258,17 +258,16 @@ def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[Data
         more = staged(more.select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b")).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
             found = staged(found.unionByName(measured(d, more, params)), "measured")
-            links = found.filter(near).select("a", "b")
+            comps = components(found.filter(near).select("a", "b"))
         left = left.filter(F.col("k") > m).select("s", "doc", "n", "pos", "d")
         if not left.limit(1).count():
-            return rows, reps, links
+            return rows, reps, comps
         m *= 4
 
 
 def near_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    rows, reps, links = classes_of(docs, params)
-    comps = components(links)
+    rows, reps, comps = classes_of(docs, params)
     named = reps.join(comps, reps.rep == comps.id, "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
     return rows.select("doc_id", "cls", "n").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
