@@ -149,8 +149,8 @@ def kept_hits(hits: Column, blank: Column, rows: Column, cols: Column, policy: P
 
 def decided(slices: DataFrame, policy: Policy) -> DataFrame:
     """What becomes of each slice, from hits, blank, detect_status, burned, want, rows and cols."""
-    d = slices.withColumn("kept", F.when(F.col("want"), kept_hits(F.col("hits"), F.col("blank"), F.col("rows"), F.col("cols"), policy)))
-    d = d.withColumn("kept", F.coalesce("kept", F.slice(kept_hits(F.col("hits"), F.col("blank"), F.col("rows"), F.col("cols"), policy), 1, 0)))
+    d = slices.withColumn("hits", F.coalesce(F.when(F.col("want"), F.col("hits")), F.array().cast(HITS)))
+    d = d.withColumn("kept", kept_hits(F.col("hits"), F.col("blank"), F.col("rows"), F.col("cols"), policy))
     boxed = F.filter("kept", lambda h: h.points.isNotNull())
     d = d.withColumn("has_text", F.coalesce(F.size("kept") > 0, F.lit(False))).withColumn("boxed", boxed).withColumn("boxless_hits", F.greatest(F.size("kept") - F.size("boxed"), F.lit(0)))
     act, forced, strategy = geometry.action(F.size("boxed"), F.col("boxless_hits"), policy)

@@ -125,11 +125,11 @@ def redacted(hu: np.ndarray, rects: list[Rect], policy: Policy) -> np.ndarray:
     return out
 
 
-def to_gray8(values: np.ndarray, slope: float = 1.0, intercept: float = 0.0, inverted: bool = False) -> np.ndarray:
-    """8-bit image for a detector; of several frames the first, of colours the luminance."""
+def to_gray8(values: np.ndarray, slope: float = 1.0, intercept: float = 0.0, inverted: bool = False, samples: int = 1) -> np.ndarray:
+    """8-bit image for a detector; of several frames the first, of colours (``samples`` a pixel) the luminance."""
     if values.ndim == 4:
         values = values[0]
-    if values.ndim == 3 and values.shape[-1] in (3, 4):
+    if values.ndim == 3 and samples >= 3 and values.shape[-1] in (3, 4):
         rgb = values[..., :3].astype(np.float32)
         top = float(rgb.max()) if rgb.size else 0.0
         rgb = rgb / top * 255 if top > 255 else rgb
