@@ -26,6 +26,8 @@ from veilframe.llm.common import only, ranges, slices, texts
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NONE = np.int64(1) << 40
+#: Chunks whose ids a worker keeps (some 50 MB); the frequent ones come early.
+KEPT = 300_000
 
 
 def byte_chars() -> list[str]:
@@ -58,6 +60,8 @@ class WordBPE:
         self.pattern = regex.compile(PRETOKEN)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.path, self.byte = path, {c: b for b, c in enumerate(chars)}
+        self.kept: dict[str, int] = {}
+        self.kept_ids, self.kept_starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; _NONE where it is no merge."""
@@ -142,6 +146,24 @@ class WordBPE:
         low = self.library.normalizer.normalize_str(text)
         return [bytes(self.byte[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(low)]
 
+    def pooled(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first id of each chunk, size of each): those that are kept, and the others encoded now."""
+        get, base = self.kept.get, len(self.kept_ids)
+        at = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        fresh = [chunks[i] for i in new.tolist()]
+        ids, starts = self.chunks(fresh)
+        first, size = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        old = np.flatnonzero(at >= 0)
+        first[old], size[old] = self.kept_starts[at[old]], np.diff(self.kept_starts)[at[old]]
+        first[new], size[new] = base + starts[:-1], np.diff(starts)
+        pool = np.concatenate((self.kept_ids, ids))
+        if room := min(KEPT - len(self.kept), len(fresh)):
+            self.kept.update(zip(fresh[:room], range(len(self.kept), len(self.kept) + room), strict=True))
+            self.kept_ids = pool[: base + starts[room]].copy()
+            self.kept_starts = np.concatenate((self.kept_starts, base + starts[1 : room + 1]))
+        return pool, first, size
+
     def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts) of chunks without ASCII white space between."""
         words: dict[bytes, int] = {}
@@ -170,15 +192,15 @@ class WordBPE:
         return ids[ranges(a, n)], total
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, code starts of each text, ids, id starts of each chunk, chunk sizes): texts share their chunks."""
+        """(codes, code starts of each text, ids, first id and size of each chunk): texts share their chunks."""
         text = pc.replace_substring(text, "\n", " ")
         if not pc.any(pc.match_substring(text, "<|")).as_py():  # else the case of a special token's string counts
             text = pc.ascii_lower(text)
         parts = pc.split_pattern(text, " ")
         flat = parts.flatten().dictionary_encode()
-        ids, starts = self.chunks(flat.dictionary.to_pylist())
+        ids, first, size = self.pooled(flat.dictionary.to_pylist())
         offsets = parts.offsets.to_numpy()
-        return flat.indices.to_numpy(), (offsets - offsets[0]).astype(np.int64), ids, starts[:-1], np.diff(starts)
+        return flat.indices.to_numpy(), (offsets - offsets[0]).astype(np.int64), ids, first, size
 
     def encode_flat(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts) of the texts."""
@@ -227,8 +249,10 @@ def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
         bpe = vocabulary(vocab_path)
         for b in slices(batches):
             codes, at, ids, first, size = bpe.encode(texts(b))
-            tokens, strings = ids.tolist(), bpe.strings[ids].tolist()
-            spans = list(zip(first.tolist(), (first + size).tolist(), strict=True))
+            own = ids[ranges(first, size)]
+            tokens, strings = own.tolist(), bpe.strings[own].tolist()
+            ends = np.cumsum(size)
+            spans = list(zip((ends - size).tolist(), ends.tolist(), strict=True))
             said = np.array([" ".join(map(str, tokens[i:j])).encode() for i, j in spans], object)
             back = np.array([" ".join(strings[i:j]).encode() for i, j in spans], object)
             counts = size[codes]

@@ -97,7 +97,8 @@ def tokenized(docs: DataFrame, vocab_path: str, params: PackParams, bounds: np.n
             chunk = np.zeros((len(size), DIMS))
             some = np.flatnonzero(size)
             if len(some):
-                chunk[some] = np.add.reduceat(table[ids], first[some])
+                ends = np.cumsum(size[some])
+                chunk[some] = np.add.reduceat(table[ids[ranges(first[some], size[some])]], ends - size[some])
             sums = np.zeros((len(n), DIMS))
             has = np.flatnonzero(n)
             if len(has):
