@@ -13,7 +13,8 @@ from dicom_files import head_slice, phantom
 from veilframe.config import Policy
 from veilframe.functions import identity
 from veilframe.operators import detect
-from veilframe.plans import pipeline
+from veilframe.__main__ import main
+from veilframe.plans import pipeline, previews
 from veilframe.sources import mapping
 from veilframe.sources.dicom import parse
 from veilframe.streaming import ingest
@@ -131,3 +132,28 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert [(r.action, r.n) for r in spark.sql("SELECT * FROM seen_actions").collect()] == [("a", 2)]
     assert ingest.file_stream(spark, str(tmp_path)).isStreaming and partial and detect.LineEngine
+
+
+def test_previews_and_second_pass(spark, cohort):
+    root, ids = cohort
+    policy = Policy(uid_key="secret")
+    r = pipeline.run(spark, policy, root, mapping.read_mapping(spark, ids))
+    pictures = {x.path: bytes(x.content) for x in previews.examined_slices(r.slices).collect()}
+    assert "detected_text/P1_s1_y.png" in pictures and "not_examined_detection_off/P1_s1_x.png" in pictures
+    assert all(v[:8] == b"\x89PNG\r\n\x1a\n" for v in pictures.values())
+    assert sorted(x.path for x in previews.middle_slices(r.images, r.slices).collect()) == ["P1_s1.png", "P1_s2_deep.png", "P3.png"]
+    assert previews.second_pass(r.images, r.slices, detect.LineEngine, policy).count() == 0
+    unmasked = r.slices.filter("source_filename = 'y.dcm'").select("instance_id", F.col("hu").alias("pixels"))
+    again = previews.second_pass(unmasked, r.slices.withColumn("slope", F.lit(1.0)).withColumn("intercept", F.lit(0.0)), detect.LineEngine, policy)
+    assert again.count() == 1
+
+
+def test_command_line(spark, cohort, tmp_path):
+    root, ids = cohort
+    assert main([root, ids, str(tmp_path / "out"), str(tmp_path / "tables"), "--date", "20010203", "--uid-key", "k", "--examine-all", "--previews"]) == 0
+    assert (tmp_path / "out/P1/P1_1/P1_00001.dcm").exists() and (tmp_path / "tables/previews/detected_text/P1_s1_y.png").exists()
+    assert b"20010203" in (tmp_path / "out/P3/P3_00001.dcm").read_bytes()
+    bad = tmp_path / "bad.csv"
+    bad.write_text("original_folder_name,new_folder_name\nA,P1\nC,P1\n")
+    with pytest.raises(SystemExit):
+        main([root, str(bad), str(tmp_path / "o2"), str(tmp_path / "t2"), "--date", "20010203", "--uid-key", "k"])

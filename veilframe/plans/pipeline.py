@@ -26,6 +26,7 @@ class Result:
     """Tables of a run.  ``restricted`` ones (audit, qc, errors) name original identities or values."""
 
     files: DataFrame
+    images: DataFrame
     audit: DataFrame
     qc: DataFrame
     errors: DataFrame
@@ -133,7 +134,7 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
     accounting = reports.series_accounting(slices, ["new_id", "rel_dir", "series_folder"])
     audit = reports.audit_rows(slices.withColumnsRenamed({"new_id": "patient_new_id", "patient_old": "patient_old_id", "burned": "burned_in_annotation"}), F.current_timestamp())
     return Result(
-        files=sink.as_files(rewritten, images), audit=audit, qc=findings.select(F.current_timestamp().alias("timestamp"), "patient_new_id", "series_folder", "source_filename", "finding", "tag", "name", "detail"),
+        files=sink.as_files(rewritten, images), images=images, audit=audit, qc=findings.select(F.current_timestamp().alias("timestamp"), "patient_new_id", "series_folder", "source_filename", "finding", "tag", "name", "detail"),
         errors=reports.error_rows(slices, accounting, policy.never_drop).unionByName(dicom.errors(heads)), accounting=accounting, actions=elements.action_counts(marked), changed_dates=elements.changed_dates(marked),
         confidences=reports.confidence_summary(slices.filter("has_text"), ["new_id"], "hit_conf"), slices=slices,
     )
