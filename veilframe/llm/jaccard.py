@@ -91,7 +91,7 @@ def frequent_order(docs: DataFrame, params: JoinParams) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, cls (digest of the shingle set), n, common (frequent members), prefix: the window of pivots."""
+    """doc_id, cls (digest of the shingle set), n, common (frequent members), prefix: the window of pivots, in order."""
     spark = docs.sparkSession
     order = frequent_order(docs, params)
     by_hash = np.argsort(order.view(np.uint64))
@@ -108,21 +108,14 @@ def shingled(docs: DataFrame, params: JoinParams) -> DataFrame:
                 rank = np.where(known[pos] == h, place[pos], -1)
             size = n - (params.percent * n + 99) // 100 + 1
             size[n == 0] = 0
-            signed, cls, common, rows = h.view(np.int64), [], np.zeros(len(n), np.int64), []
+            # a shingle's place in the order of all: rare ones by hash, then the frequent ones by rank
+            keys = np.where(rank < 0, h >> np.uint64(1), np.uint64(1 << 63) + np.maximum(rank, 0).astype(np.uint64))
+            often, cls, rows = np.concatenate(([0], np.cumsum(rank >= 0))), [], []
+            common = often[at[1:]] - often[at[:-1]]
             for i, (doc, a, z, k) in enumerate(zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), size.tolist(), strict=True)):
                 cls.append(hashlib.blake2b(h[a:z].tobytes() or str(doc).encode(), digest_size=16).digest())
-                r = rank[a:z]
-                often = r >= 0
-                common[i] = often.sum()
-                if common[i]:
-                    rare = signed[a:z][~often][:k]
-                    if len(rare) < k:
-                        late = signed[a:z][often][np.argsort(r[often])]
-                        rare = np.concatenate((rare, late[: k - len(rare)]))
-                    rows.append(rare)
-                else:
-                    rows.append(signed[a : a + k])
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(rows) if rows else signed[:0]))
+                rows.append(np.sort(keys[a:z])[:k] if common[i] else keys[a : a + k])
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array((np.concatenate(rows) if rows else keys[:0]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.binary()), pa.array(n), pa.array(common), prefix], ["doc_id", "cls", "n", "common", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, cls binary, n long, common long, prefix array<long>")
@@ -151,6 +144,39 @@ def first_pairs(regions: DataFrame, params: JoinParams) -> DataFrame:
     return small.unionByName(large.select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b"))).distinct()
 
 
+def possible(pairs: DataFrame, first: DataFrame, params: JoinParams) -> DataFrame:
+    """The pairs whose windows leave room for a link.
+
+    Up to the smaller of their last pivots both windows are whole, so common members up to there are counted; beyond,
+    no more can be common than either set has left.
+    """
+    own = first.select("doc_id", "n", "prefix")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    if ids.count() <= params.broadcast_rows:
+        own = own.join(F.broadcast(ids), "doc_id", "left_semi")
+    d = pairs.join(own.toDF("a", "na", "pa"), "a").join(own.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(batches):
+        for b in batches:
+            parts = []
+            for c in ("pa", "pb"):
+                column = b.column(c)
+                offsets = column.offsets.to_numpy()
+                parts.append((column.values.to_numpy().view(np.uint64), offsets.tolist()))
+            (vx, ox), (vy, oy) = parts
+            keep = np.zeros(b.num_rows, bool)
+            for i, (nx, ny) in enumerate(zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)):
+                x, y = vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]]
+                last = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
+                z = np.sort(np.concatenate((x, y)))
+                most = int((z[1:] == z[:-1]).sum()) + min(nx - len(x), ny - len(y))
+                keep[i] = 100 * most >= params.percent * (nx + ny - most)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    return d.mapInArrow(run, "a long, b long").distinct()
+
+
 def bit(column: str) -> Column:
     """The bit of an id in a map of 2 ** 25 bits."""
     return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(1 << 25))
@@ -235,8 +261,8 @@ def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[Data
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     first = representatives(rows, reps, params)
     regions = staged(region_rows(first, params), "regions")
-    pairs = staged(first_pairs(regions, params), "pairs")
-    found = staged(measured(d, pairs, params), "measured")
+    tried = staged(first_pairs(regions, params), "pairs")
+    found = staged(measured(d, staged(possible(tried, first, params), "possible"), params), "measured")
     near = f"100 * inter >= {params.percent} * total"
     links = found.filter(near).select("a", "b")
     large = regions.filter(F.col("size") > params.small)
@@ -255,7 +281,9 @@ def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[Data
         pivots = left.filter(F.col("k") <= m)
         window = f"(x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {1 - params.percent / 100} + 1e-9)"
         more = pivots.alias("x").join(left.alias("y"), F.expr(f"x.s = y.s AND x.k < y.k AND x.comp <> y.comp AND {window} AND {may_link(params.percent)}"))
-        more = staged(more.select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b")).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        more = staged(more.select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(more)
+        more = staged(possible(more, first, params), "possible")
         if more.limit(1).count():
             found = staged(found.unionByName(measured(d, more, params)), "measured")
             comps = components(found.filter(near).select("a", "b"))
