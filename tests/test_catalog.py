@@ -52,4 +52,4 @@ def test_plans_have_no_python_where_none_is_needed(spark):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["mapping_inner_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan and "PushedFilters: [IsNotNull(o_custkey)]" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan and "PushedFilters: [IsNotNull(c_custkey)]" in plan, plan

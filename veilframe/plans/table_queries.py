@@ -13,6 +13,7 @@ from veilframe.functions import cohort, geometry, identity, raster, text
 from veilframe.operators import ordering, reports
 from veilframe.plans.registry import query, sql_uid, t
 from veilframe.sources import mapping
+from veilframe.streaming import ingest
 
 POLICY = Policy()
 HARD = Policy(hardened=True)
@@ -464,3 +465,18 @@ def anterior_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, f = F.col("n_nationkey"), lambda v: F.lit(float(v))
     axis, sign = raster.anterior(F.array(f(1), (k - 12) / 12.0, f(0), f(0), (k % 5 - 2) / 2.0, f(1)))
     return t(spark, sf_dir, "nation").select("n_nationkey", axis.alias("axis"), sign.alias("sign"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions by hour; the same function counts on streams, with a watermark."""
+    return ingest.windowed_actions(t(spark, sf_dir, "events").withColumnRenamed("event_type", "action"), "ts")
+
+
+@query("""
+SELECT o_custkey, max(o_orderkey) FILTER (o_orderkey % 3 <> 0) AS best, string_agg(CAST(o_orderkey AS VARCHAR), ' | ' ORDER BY o_orderkey) AS hits FROM orders GROUP BY 1
+""")
+def best_and_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best known value and joined texts of a group, unknown values ignored."""
+    d = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey"))).alias("best"), F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    return d.select("o_custkey", "best", text.joined_hits(F.transform("k", lambda x: x.cast("string"))).alias("hits"))
