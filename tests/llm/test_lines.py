@@ -12,7 +12,7 @@ def brute(rows, p=lines.UnitParams()):
     first = {}
     cut = {}
     for doc, text in sorted({r for r in rows if r[0] is not None and r[1]}):
-        cut[doc, text] = list(lines.units_of(text, p.unit_words))
+        cut[doc, text] = list(lines.units_of(text, p))
         for k, (a, _, _, normal) in enumerate(cut[doc, text]):
             first.setdefault(normal, (doc, k, a))
             first[normal] = min(first[normal], (doc, k, a))
@@ -68,3 +68,14 @@ def test_passages_go_and_clean_texts_stay(spark):
         (span,) = r[i].removed
         assert span.kept_doc == 1 and inner in rows[i - 1][1][span.start : span.start + span.length]
     assert len(r[3].text) < len(rows[2][1]) - 0.7 * len(passage)
+
+
+def test_passages_without_punctuation(spark):
+    rng = random.Random(8)
+    passage = words(rng, 80)
+    rows = [(i, f"{words(rng, 40)} {passage} {words(rng, 30)}") for i in range(1, 5)] + [(9, words(rng, 150))]
+    r = {x.doc_id: x for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert r[1].n_removed == 0 and r[9].n_removed == 0
+    for i in range(2, 5):
+        assert 0.6 * len(passage) < r[i].n_removed <= len(passage)
+        assert all(s.kept_doc == 1 and rows[i - 1][1][s.start : s.start + s.length] in passage for s in r[i].removed)

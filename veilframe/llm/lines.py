@@ -1,6 +1,8 @@
 """Substring dedup by hashing units (operator 10).
 
-A unit is a line or, within it, a sentence.  Units with ``unit_words`` words or more are normalised (lower case, single
+A unit is a line or, within it, a sentence; of a sentence with more than ``cut_words`` words, each stretch up to a word
+whose hash is divisible by 8, so that a passage has the same units wherever it stands, without any punctuation too.
+Units with ``unit_words`` words or more are normalised (lower case, single
 spaces) and hashed to 128 bits; a grouped minimum keeps each digest's earliest occurrence, ranked by (doc_id, place).
 All later ones are repeats.  Neighbouring repeats of a document make a run, which is removed where it has ``run_words``
 words or more; shorter units inside a run go with it where the kept occurrence has the same neighbours.  Offsets are
@@ -24,6 +26,7 @@ from veilframe.llm.common import only, slices, staged, texts
 
 #: A sentence ends with its punctuation before white space, a line at its end.
 UNIT = regex.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+WORD = regex.compile(r"\S+")
 REMOVED = "array<struct<start: bigint, length: bigint, kept_doc: bigint, kept_start: bigint>>"
 
 
@@ -31,15 +34,31 @@ REMOVED = "array<struct<start: bigint, length: bigint, kept_doc: bigint, kept_st
 class UnitParams:
     unit_words: int = 4
     run_words: int = 10
+    cut_words: int = 16
 
 
-def units_of(text: str, unit_words: int):
+def units_of(text: str, params: UnitParams):
     """(start, end, words, normal form) of each unit that counts."""
     for m in UNIT.finditer(text):
         words = m[0].lower().split()
-        if len(words) >= unit_words:
+        n = len(words)
+        if n > params.cut_words:
+            yield from stretches(m[0], m.start(), params)
+        elif n >= params.unit_words:
             a, b = m.span()
-            yield a + (len(m[0]) - len(m[0].lstrip())), b, len(words), " ".join(words)
+            yield a + (len(m[0]) - len(m[0].lstrip())), b, n, " ".join(words)
+
+
+def stretches(sentence: str, at: int, params: UnitParams):
+    """The units of a long sentence that starts at ``at``."""
+    found = list(WORD.finditer(sentence))
+    words = [w[0].lower() for w in found]
+    begin = 0
+    for k, w in enumerate(words):
+        if k + 1 == len(words) or xxhash.xxh32_intdigest(w) % 8 == 0:
+            if k + 1 - begin >= params.unit_words:
+                yield at + found[begin].start(), at + found[k].end(), k + 1 - begin, " ".join(words[begin : k + 1])
+            begin = k + 1
 
 
 def units(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
@@ -49,7 +68,7 @@ def units(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
         for b in slices(batches, limit=2 << 20):
             digest, doc, place, start, length, words = [], [], [], [], [], []
             for i, text in zip(b.column("doc_id").to_pylist(), texts(b).to_pylist(), strict=True):
-                for k, (a, z, n, normal) in enumerate(units_of(text, params.unit_words)):
+                for k, (a, z, n, normal) in enumerate(units_of(text, params)):
                     digest.append(xxhash.xxh3_128_digest(normal.encode("utf-8", "surrogatepass")))
                     doc.append(i)
                     place.append(k)
