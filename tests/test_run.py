@@ -51,7 +51,7 @@ def test_whole_run(spark, cohort, tmp_path):
     policy = Policy(uid_key="secret")
     table = mapping.read_mapping(spark, ids)
     assert {tuple(r) for r in table.collect()} == {("A", "P1"), ("C", "P3"), ("D", "P4")}
-    r = pipeline.run(spark, policy, root, table)
+    r = pipeline.run(spark, policy, root, table, work=str(tmp_path / "work"))
     files = {x.path: bytes(x.content) for x in r.files.collect()}
     # order: no number counts as 1, then 2, 3 (failed, keeps its place), and what is no number comes last
     assert sorted(files) == ["P1/P1_1/P1_00001.dcm", "P1/P1_1/P1_00002.dcm", "P1/P1_1/P1_00004.dcm", "P1/P1_2/P1_1/P1_00001.dcm", "P3/P3_00001.dcm"]
@@ -138,12 +138,12 @@ def test_previews_and_second_pass(spark, cohort):
     root, ids = cohort
     policy = Policy(uid_key="secret")
     r = pipeline.run(spark, policy, root, mapping.read_mapping(spark, ids))
-    pictures = {x.path: bytes(x.content) for x in previews.examined_slices(r.slices).collect()}
+    pictures = {x.path: bytes(x.content) for x in previews.examined_slices(r.slices, r.shots).collect()}
     assert "detected_text/P1_s1_y.png" in pictures and "not_examined_detection_off/P1_s1_x.png" in pictures
     assert all(v[:8] == b"\x89PNG\r\n\x1a\n" for v in pictures.values())
     assert sorted(x.path for x in previews.middle_slices(r.images, r.slices).collect()) == ["P1_s1.png", "P1_s2_deep.png", "P3.png"]
     assert previews.second_pass(r.images, r.slices, detect.LineEngine, policy).count() == 0
-    unmasked = r.slices.filter("source_filename = 'y.dcm'").select("instance_id", F.col("hu").alias("pixels"))
+    unmasked = r.shots.filter("instance_id LIKE '%y.dcm'").select("instance_id", F.col("hu").alias("pixels"))
     again = previews.second_pass(unmasked, r.slices.withColumn("slope", F.lit(1.0)).withColumn("intercept", F.lit(0.0)), detect.LineEngine, policy)
     assert again.count() == 1
 

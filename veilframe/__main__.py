@@ -32,10 +32,10 @@ def main(argv: list[str] | None = None) -> int:
     table = read_mapping(spark, a.mapping)
     if twice := shared_names(table).limit(5).collect():
         p.error(f"new names for more than one patient: {', '.join(r['new_folder_name'] for r in twice)}")
-    result = pipeline.run(spark, policy, a.input, table, force=a.examine_all)
+    result = pipeline.run(spark, policy, a.input, table, force=a.examine_all, work=f"{a.restricted}/work")
     pipeline.publish(result, a.release, a.restricted)
     if a.previews:
-        publish(previews.examined_slices(result.slices), f"{a.restricted}/previews")
+        publish(previews.examined_slices(result.slices, result.shots), f"{a.restricted}/previews")
         publish(previews.middle_slices(result.images, result.slices), f"{a.restricted}/renders")
     return 0
 

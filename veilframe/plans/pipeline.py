@@ -27,6 +27,7 @@ class Result:
 
     files: DataFrame
     images: DataFrame
+    shots: DataFrame
     audit: DataFrame
     qc: DataFrame
     errors: DataFrame
@@ -95,10 +96,22 @@ def written_pixels() -> list[tuple[str, str]]:
     return [("00280100", "16"), ("00280101", "16"), ("00280102", "15"), ("00280103", "1")]
 
 
-def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: DataFrame, factory: Callable[[], detect.Engine] = detect.LineEngine, force: bool = False, folder_depth: int = 4) -> Result:
-    """All tables of a run over the files below ``input_root``; nothing is written here."""
+def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: DataFrame, factory: Callable[[], detect.Engine] = detect.LineEngine, force: bool = False, folder_depth: int = 4, work: str | None = None) -> Result:
+    """All tables of a run over the files below ``input_root``.
+
+    With ``work``, a folder that all executors share, parsed headers, rewritten elements and the decisions about slices
+    are written there once and read again, so that publishing parses headers once and decodes pixels twice (to examine
+    them, to mask them) however many tables follow.  Without it, nothing is written and each table starts anew.
+    """
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if work is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
     found = dicom.files(spark, input_root)
-    heads = dicom.parsed(mapping.pseudonymised(found, mapping_table).drop("new_id"), with_pixels=False)
+    heads = kept(dicom.parsed(mapping.pseudonymised(found, mapping_table).drop("new_id"), with_pixels=False), "headers")
     accepted = cohort_of(heads, policy)
     accepted = mapping.pseudonymised(accepted, mapping_table).withColumn("patient", F.col("patient_old"))
     number = F.get(dicom.root_values("00200013"), F.lit(0))
@@ -107,6 +120,7 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
     rewritten, marked = elements.rewrite(dicom.elements(accepted), policy)
     pixel_values = F.element_at(F.create_map(*[F.lit(x) for kv in written_pixels() for x in kv]), F.col("tag"))
     rewritten = rewritten.withColumn("value", F.when((F.col("depth") == 0) & (F.col("scope") == "dataset") & pixel_values.isNotNull(), F.array(pixel_values)).otherwise(F.col("value")))
+    rewritten = kept(rewritten, "elements")
     # rasters: parsed again, with pixels, for accepted files alone
     chosen = found.join(accepted.select("instance_id"), "instance_id", "left_semi")
     shots = rasters(dicom.parsed(chosen), policy)
@@ -126,15 +140,16 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
     out_path = F.concat_ws("/", "new_id", F.when(F.col("new_dir") != "", F.col("new_dir")), ordering.output_name(F.col("new_id"), F.col("position")))
     slices = slices.withColumn("out_path", out_path).withColumn("series_folder", F.element_at(F.split(F.concat_ws("/", "patient_old", F.when(F.col("rel_dir") != "", F.col("rel_dir"))), "/"), -1))
     slices = slices.withColumn("source_dir", F.concat_ws("/", "patient_old", "rel_dir")).withColumn("source_filename", F.col("filename"))
+    slices = kept(slices.drop("hu", "gray"), "slices")
     good = slices.filter(~F.col("failed") & ~F.coalesce(F.col("decision") == "DROPPED", F.lit(False)))
-    images = masked(good, policy).join(good.select("instance_id", "out_path"), "instance_id")
+    images = masked(good.join(shots.drop("raster_error"), "instance_id"), policy).join(good.select("instance_id", "out_path"), "instance_id")
     produced = rewritten.filter("vr = 'UI'").select("patient", F.explode("value").alias("uid"))
     heads_out = accepted.select("instance_id", F.when(F.lit(policy.zero_preamble) & F.col("preamble").isNotNull(), F.lit(b"\x00" * 128)).otherwise(F.col("preamble")).alias("preamble"))
     findings = qc.findings(rewritten, heads_out, produced, policy).join(slices.select("instance_id", F.col("new_id").alias("patient_new_id"), "series_folder", "source_filename"), "instance_id")
     accounting = reports.series_accounting(slices, ["new_id", "rel_dir", "series_folder"])
     audit = reports.audit_rows(slices.withColumnsRenamed({"new_id": "patient_new_id", "patient_old": "patient_old_id", "burned": "burned_in_annotation"}), F.current_timestamp())
     return Result(
-        files=sink.as_files(rewritten, images), images=images, audit=audit, qc=findings.select(F.current_timestamp().alias("timestamp"), "patient_new_id", "series_folder", "source_filename", "finding", "tag", "name", "detail"),
+        files=sink.as_files(rewritten, images), images=images, shots=shots, audit=audit, qc=findings.select(F.current_timestamp().alias("timestamp"), "patient_new_id", "series_folder", "source_filename", "finding", "tag", "name", "detail"),
         errors=reports.error_rows(slices, accounting, policy.never_drop).unionByName(dicom.errors(heads)), accounting=accounting, actions=elements.action_counts(marked), changed_dates=elements.changed_dates(marked),
         confidences=reports.confidence_summary(slices.filter("has_text"), ["new_id"], "hit_conf"), slices=slices,
     )

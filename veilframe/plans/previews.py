@@ -21,9 +21,9 @@ def picture_name() -> Column:
     return F.concat(text.file_name(F.concat_ws("_", "new_id", "series_folder", text.stem(F.col("source_filename")))), F.lit(".png"))
 
 
-def examined_slices(slices: DataFrame) -> DataFrame:
+def examined_slices(slices: DataFrame, shots: DataFrame) -> DataFrame:
     """path, content: each slice as the detector saw it, in its bucket's folder, with the masked rectangles outlined."""
-    d = slices.filter("gray IS NOT NULL").withColumn("folder", F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), F.col("bucket"))).filter("folder IS NOT NULL")
+    d = slices.join(shots.select("instance_id", "gray"), "instance_id").filter("gray IS NOT NULL").withColumn("folder", F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), F.col("bucket"))).filter("folder IS NOT NULL")
     d = d.select(F.concat_ws("/", "folder", picture_name()).alias("path"), "gray", "rows", "cols", "rects")
 
     def run(batches):
