@@ -52,15 +52,24 @@ def dt(c: Column, policy: Policy) -> Column:
 
 
 def parsed_date(c: Column) -> Column:
+    """The first eight digits as a date, null unless there is such a day.  A cast is some times faster than a pattern."""
     digits = F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", ""), 1, 8)
-    return F.when(F.length(digits) == 8, F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date"))
+    part = lambda at, n: F.substring(digits, at, n)
+    return F.when(F.length(digits) == 8, F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2)).try_cast("date"))
 
 
 def age(birth: Column, exam: Column, policy: Policy) -> Column:
-    """Whole years as nnnY, capped; null unless both dates are valid and in order.  Dates as date columns."""
-    before = (F.month(exam) * 100 + F.day(exam) < F.month(birth) * 100 + F.day(birth)).cast("int")
-    years = F.year(exam) - F.year(birth) - before
-    return F.when((exam >= birth) & (years >= 0), F.format_string("%03dY", F.least(years, F.lit(policy.max_age))))
+    """Whole years as nnnY, capped; null unless both dates are valid and in order.  Dates as date columns.
+
+    A lambda binds both dates, whose expressions would otherwise be copied for every use.
+    """
+
+    def years(z: Column) -> Column:
+        before = (F.month(z.e) * 100 + F.day(z.e) < F.month(z.b) * 100 + F.day(z.b)).cast("int")
+        n = F.year(z.e) - F.year(z.b) - before
+        return F.when((z.e >= z.b) & (n >= 0), F.format_string("%03dY", F.least(n, F.lit(policy.max_age))))
+
+    return F.get(F.transform(F.array(F.struct(birth.alias("b"), exam.alias("e"))), years), F.lit(0))
 
 
 def capped_age(c: Column, policy: Policy) -> Column:
