@@ -79,3 +79,16 @@ def test_passages_without_punctuation(spark):
     for i in range(2, 5):
         assert 0.6 * len(passage) < r[i].n_removed <= len(passage)
         assert all(s.kept_doc == 1 and rows[i - 1][1][s.start : s.start + s.length] in passage for s in r[i].removed)
+
+
+def test_a_repeated_line_goes_alone():
+    """However short, between unique text, with one sentence or more; only one-word lines stay."""
+    rng = random.Random(11)
+    for line in ("Nicht aulich für sch erüver enau sch der.", "Page header", "Yes. No. So it is.", "すべての権利を留保します。"):
+        rows = [(i, f"{words(rng, 30)}.\n{line}\n{words(rng, 40)}.\nword") for i in range(1, 5)]
+        out = brute(rows)
+        assert out[rows[0]] == (rows[0][1], [])
+        for row in rows[1:]:
+            clean, spans = out[row]
+            assert [row[1][a : a + n] for a, n, _, _ in spans] == [line] and spans[0][2:] == (1, rows[0][1].index(line))
+            assert clean == row[1].replace(line, "")

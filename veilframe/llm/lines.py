@@ -5,8 +5,10 @@ whose hash is divisible by 8, so that a passage has the same units wherever it s
 Units with ``unit_words`` words or more are normalised (lower case, single
 spaces) and hashed to 128 bits; a grouped minimum keeps each digest's earliest occurrence, ranked by (doc_id, place).
 All later ones are repeats.  Neighbouring repeats of a document make a run, which is removed where it has ``run_words``
-words or more; shorter units inside a run go with it where the kept occurrence has the same neighbours.  Offsets are
-code points of the original text and come with the place of the kept occurrence.
+words or more; shorter units inside a run go with it where the kept occurrence has the same neighbours.  A line is a
+unit of its own beside its sentences, and goes wherever it repeats, however short it is; only a line of one word under
+``word_bytes`` bytes of UTF-8 stays outside of runs, as such words repeat by chance (that loses repeated one-word headers).
+Offsets are code points of the original text and come with the place of the kept occurrence.
 
 Defined results: null and empty texts stay as they are; a text whose units all repeat becomes empty; rows that share a
 doc_id count as one document, so that none of them is a repeat of the other; rows without a doc_id stay as they are.
@@ -14,6 +16,7 @@ doc_id count as one document, so that none of them is a repeat of the other; row
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,6 +29,7 @@ from veilframe.llm.common import only, slices, staged, texts
 
 #: A sentence ends with its punctuation before white space, a line at its end.
 UNIT = regex.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+LINE = regex.compile(r"[^\n]+")
 WORD = regex.compile(r"\S+")
 REMOVED = "array<struct<start: bigint, length: bigint, kept_doc: bigint, kept_start: bigint>>"
 
@@ -35,29 +39,48 @@ class UnitParams:
     unit_words: int = 4
     run_words: int = 10
     cut_words: int = 16
+    word_bytes: int = 16
 
 
 def units_of(text: str, params: UnitParams):
-    """(start, end, words, normal form) of each unit that counts."""
-    for m in UNIT.finditer(text):
-        words = m[0].lower().split()
-        n = len(words)
-        if n > params.cut_words:
-            yield from stretches(m[0], m.start(), params)
-        elif n >= params.unit_words:
-            a, b = m.span()
-            yield a + (len(m[0]) - len(m[0].lstrip())), b, n, " ".join(words)
-
-
-def stretches(sentence: str, at: int, params: UnitParams):
-    """The units of a long sentence that starts at ``at``."""
+    """(start, end, words, normal form) of each unit: sentences and stretches in order, then whole lines, whose words are 0.
+
+    A line has a unit of its own where its sentences alone might not reach ``run_words``.
+    """
+    whole = []
+    for line in LINE.finditer(text):
+        start, end, line_words, counted = -1, -1, [], 0
+        for m in UNIT.finditer(text, *line.span()):
+            for a, z, words in pieces(m[0], m.start(), params):
+                if start < 0:
+                    start = a
+                end = z
+                line_words += words
+                if len(words) >= params.unit_words:
+                    counted += len(words)
+                    yield a, z, len(words), " ".join(words)
+        if counted < params.run_words and (len(line_words) > 1 or len("".join(line_words).encode("utf-8", "surrogatepass")) >= params.word_bytes):
+            whole.append((start, end, 0, "\n" + " ".join(line_words)))
+    yield from whole
+
+
+def pieces(sentence: str, at: int, params: UnitParams):
+    """(start, end, words) of a sentence that starts at ``at``, in stretches where it is long."""
+    words = sentence.lower().split()
+    if len(words) > params.cut_words:
+        yield from stretches(sentence, at)
+    elif words:
+        yield at + len(sentence) - len(sentence.lstrip()), at + len(sentence), words
+
+
+def stretches(sentence: str, at: int):
+    """The pieces of a long sentence."""
     found = list(WORD.finditer(sentence))
     words = [w[0].lower() for w in found]
     begin = 0
     for k, w in enumerate(words):
         if k + 1 == len(words) or xxhash.xxh32_intdigest(w) % 8 == 0:
-            if k + 1 - begin >= params.unit_words:
-                yield at + found[begin].start(), at + found[k].end(), k + 1 - begin, " ".join(words[begin : k + 1])
+            yield at + found[begin].start(), at + found[k].end(), words[begin : k + 1]
             begin = k + 1
 
 
@@ -92,28 +115,37 @@ def repeats(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
 
 
 def runs(found: list[dict], run_words: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, kept doc, kept start) of what is removed, from a document's repeats in order."""
+    """(start, end, kept doc, kept start) of what is removed, from a document's repeats in order of their places."""
+    groups: list[list[dict]] = []
+    for x in (x for x in found if x["words"]):
+        if groups and x["place"] == groups[-1][-1]["place"] + 1:
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    groups = [g for g in groups if sum(x["words"] for x in g) >= run_words]
+    begins = [g[0]["start"] for g in groups]
+    alone = []
+    for x in (x for x in found if not x["words"]):
+        k = bisect.bisect_right(begins, x["start"]) - 1
+        if k < 0 or groups[k][-1]["start"] + groups[k][-1]["length"] < x["start"] + x["length"]:
+            alone.append(x)
+    begins = [x["start"] for x in alone]
+
+    def inside(x: dict) -> bool:
+        k = bisect.bisect_right(begins, x["start"]) - 1
+        return k >= 0 and x["start"] < alone[k]["start"] + alone[k]["length"]
+
     out: list[tuple[int, int, int, int]] = []
-    group: list[dict] = []
-
-    def close() -> None:
-        if sum(x["words"] for x in group) < run_words:
-            return
-        for i, x in enumerate(group):
-            end = x["start"] + x["length"]
-            kept = x["kept"]
-            if i and group[i - 1]["kept"]["doc_id"] == kept["doc_id"] and group[i - 1]["kept"]["place"] + 1 == kept["place"]:
-                a, _, d, s = out.pop()
-                out.append((a, end, d, s))
-            else:
-                out.append((x["start"], end, kept["doc_id"], kept["start"]))
-
-    for x in found:
-        if group and x["place"] != group[-1]["place"] + 1:
-            close()
-            group = []
-        group.append(x)
-    close()
+    last = None
+    for x in sorted([*alone, *(x for g in groups for x in g if not inside(x))], key=lambda x: x["start"]):
+        end, kept = x["start"] + x["length"], x["kept"]
+        joins = last and last["words"] and x["words"] and last["place"] + 1 == x["place"]
+        if joins and last["kept"]["doc_id"] == kept["doc_id"] and last["kept"]["place"] + 1 == kept["place"]:
+            a, _, d, s = out.pop()
+            out.append((a, end, d, s))
+        else:
+            out.append((x["start"], end, kept["doc_id"], kept["start"]))
+        last = x
     return out
 
 
