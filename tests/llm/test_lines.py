@@ -92,3 +92,18 @@ def test_a_repeated_line_goes_alone():
             clean, spans = out[row]
             assert [row[1][a : a + n] for a, n, _, _ in spans] == [line] and spans[0][2:] == (1, rows[0][1].index(line))
             assert clean == row[1].replace(line, "")
+
+
+def test_short_fields_between_repeats_stay():
+    """Unique words go in no run, short repeats of the same neighbours do."""
+    rng = random.Random(12)
+    a, b, c = (words(rng, 7) for _ in range(3))
+    for n in (1, 2, 3):
+        fields = [words(rng, n) for _ in range(4)]
+        rows = [(i, f"{words(rng, 20)}. {a}. {f}. {b}. Yes. {c}. {words(rng, 20)}.") for i, f in enumerate(fields, 1)]
+        out = brute(rows)
+        assert out[rows[0]] == (rows[0][1], [])
+        for row, f in zip(rows[1:], fields[1:], strict=True):
+            clean, spans = out[row]
+            assert f in clean and "Yes" not in clean and b not in clean and c not in clean
+            assert all(row[1][x : x + k] == rows[0][1][s : s + k] and d == 1 for x, k, d, s in spans)

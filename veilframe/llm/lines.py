@@ -2,10 +2,10 @@
 
 A unit is a line or, within it, a sentence; of a sentence with more than ``cut_words`` words, each stretch up to a word
 whose hash is divisible by 8, so that a passage has the same units wherever it stands, without any punctuation too.
-Units with ``unit_words`` words or more are normalised (lower case, single
-spaces) and hashed to 128 bits; a grouped minimum keeps each digest's earliest occurrence, ranked by (doc_id, place).
+Units are normalised (lower case, single spaces) and hashed to 128 bits, those under ``unit_words`` words together with
+the words before them, so that as many words agree; a grouped minimum keeps each digest's earliest occurrence, ranked by (doc_id, place).
 All later ones are repeats.  Neighbouring repeats of a document make a run, which is removed where it has ``run_words``
-words or more; shorter units inside a run go with it where the kept occurrence has the same neighbours.  A line is a
+words or more; as all text is in units, nothing goes that doesn't occur earlier.  A line is a
 unit of its own beside its sentences, and goes wherever it repeats, however short it is; only a line of one word under
 ``word_bytes`` bytes of UTF-8 stays outside of runs, as such words repeat by chance (that loses repeated one-word headers).
 Offsets are code points of the original text and come with the place of the kept occurrence.
@@ -45,21 +45,22 @@ class UnitParams:
 def units_of(text: str, params: UnitParams):
     """(start, end, words, normal form) of each unit: sentences and stretches in order, then whole lines, whose words are 0.
 
-    A line has a unit of its own where its sentences alone might not reach ``run_words``.
+    A line has a unit of its own where its sentences alone might not reach ``run_words``, or need words before the line.
     """
-    whole = []
+    whole, tail = [], []
     for line in LINE.finditer(text):
         start, end, line_words, counted = -1, -1, [], 0
         for m in UNIT.finditer(text, *line.span()):
             for a, z, words in pieces(m[0], m.start(), params):
-                if start < 0:
-                    start = a
-                end = z
+                n = len(words)
+                short = n < params.unit_words
+                yield a, z, n, (" ".join(tail[n - params.unit_words :]) + "\0" if short else "") + " ".join(words)
+                if not short or len(line_words) + n >= params.unit_words:
+                    counted += n
+                start, end = a if start < 0 else start, z
                 line_words += words
-                if len(words) >= params.unit_words:
-                    counted += len(words)
-                    yield a, z, len(words), " ".join(words)
-        if counted < params.run_words and (len(line_words) > 1 or len("".join(line_words).encode("utf-8", "surrogatepass")) >= params.word_bytes):
+                tail = (tail + words)[-params.unit_words :]
+        if counted < max(params.run_words, len(line_words)) and (len(line_words) > 1 or len("".join(line_words).encode("utf-8", "surrogatepass")) >= params.word_bytes):
             whole.append((start, end, 0, "\n" + " ".join(line_words)))
     yield from whole
 
