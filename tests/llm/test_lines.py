@@ -107,3 +107,16 @@ def test_short_fields_between_repeats_stay():
             clean, spans = out[row]
             assert f in clean and "Yes" not in clean and b not in clean and c not in clean
             assert all(row[1][x : x + k] == rows[0][1][s : s + k] and d == 1 for x, k, d, s in spans)
+
+
+def test_every_passage_of_over_50_words_is_found():
+    """Without punctuation, in one sentence with its context, and with sentences of any length, spliced anywhere."""
+    for seed in range(150):
+        rng = random.Random(seed)
+        for n, marks in ((51, 0), (52, 0), (60, 0), (80, 0), (51, 0.05), (51, 0.1), (60, 0.2)):
+            passage = " ".join(w + "." * (rng.random() < marks) for w in words(rng, n).split())
+            rows = [(i, f"{words(rng, rng.randint(1, 40))} {passage} {words(rng, rng.randint(1, 40))}") for i in (1, 2)]
+            clean, spans = brute(rows)[rows[1]]
+            assert spans and all(d == 1 and rows[1][1][a : a + k] == rows[0][1][s : s + k] for a, k, d, s in spans), (seed, n, marks)
+            if not marks:
+                assert sum(len(rows[1][1][a : a + k].split()) for a, k, _, _ in spans) >= n - 4 * lines.UnitParams().window, (seed, n)

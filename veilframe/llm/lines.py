@@ -1,7 +1,9 @@
 """Substring dedup by hashing units (operator 10).
 
 A unit is a line or, within it, a sentence; of a sentence with more than ``cut_words`` words, each stretch up to a word
-whose hash is divisible by 8, so that a passage has the same units wherever it stands, without any punctuation too.
+whose hash is the smallest of some ``window`` neighbours.  A window inside a passage picks the same word wherever the
+passage stands, and none goes without, so every passage of 51 words has units of its own for more than ``run_words``
+words, without any punctuation too.
 Units are normalised (lower case, single spaces) and hashed to 128 bits, those under ``unit_words`` words together with
 the words before them, so that as many words agree; a grouped minimum keeps each digest's earliest occurrence, ranked by (doc_id, place).
 All later ones are repeats.  Neighbouring repeats of a document make a run, which is removed where it has ``run_words``
@@ -40,6 +42,7 @@ class UnitParams:
     run_words: int = 10
     cut_words: int = 16
     word_bytes: int = 16
+    window: int = 6
 
 
 def units_of(text: str, params: UnitParams):
@@ -69,22 +72,38 @@ def pieces(sentence: str, at: int, params: UnitParams):
     """(start, end, words) of a sentence that starts at ``at``, in stretches where it is long."""
     words = sentence.lower().split()
     if len(words) > params.cut_words:
-        yield from stretches(sentence, at)
+        yield from stretches(sentence, at, params)
     elif words:
         yield at + len(sentence) - len(sentence.lstrip()), at + len(sentence), words
 
 
-def stretches(sentence: str, at: int):
+def stretches(sentence: str, at: int, params: UnitParams):
     """The pieces of a long sentence."""
     found = list(WORD.finditer(sentence))
     words = [w[0].lower() for w in found]
     begin = 0
-    for k, w in enumerate(words):
-        if k + 1 == len(words) or xxhash.xxh32_intdigest(w) % 8 == 0:
+    for k in [*cuts([xxhash.xxh32_intdigest(w) for w in words], params.window), len(words) - 1]:
+        if k >= begin:
             yield at + found[begin].start(), at + found[k].end(), words[begin : k + 1]
             begin = k + 1
 
 
+def cuts(hashes: list[int], window: int) -> list[int]:
+    """The places of the (first) smallest hash of each ``window`` neighbours, in order."""
+    out = []
+    least = -1
+    for i in range(len(hashes) - window + 1):
+        if least < i:
+            part = hashes[i : i + window]
+            least = i + part.index(min(part))
+        elif hashes[i + window - 1] < hashes[least]:
+            least = i + window - 1
+        else:
+            continue
+        out.append(least)
+    return out
+
+
 def units(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
     """digest, doc_id, place, start, length, words: a row for each unit of each text; place counts a text's units."""
 
