@@ -120,3 +120,11 @@ def test_every_passage_of_over_50_words_is_found():
             assert spans and all(d == 1 and rows[1][1][a : a + k] == rows[0][1][s : s + k] for a, k, d, s in spans), (seed, n, marks)
             if not marks:
                 assert sum(len(rows[1][1][a : a + k].split()) for a, k, _, _ in spans) >= n - 4 * lines.UnitParams().window, (seed, n)
+
+
+def test_rows_that_share_an_id_have_their_own_repeats(spark):
+    rng = random.Random(13)
+    line = words(rng, 20)
+    rows = [(1, line), (2, f"{words(rng, 12)}\n{line}\n{words(rng, 9)}"), (2, words(rng, 60)), (2, f"{line}\n{words(rng, 14)}")]
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in out) == sorted(t.replace(line, "") if i > 1 else t for i, t in rows)

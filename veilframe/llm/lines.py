@@ -13,7 +13,7 @@ unit of its own beside its sentences, and goes wherever it repeats, however shor
 Offsets are code points of the original text and come with the place of the kept occurrence.
 
 Defined results: null and empty texts stay as they are; a text whose units all repeat becomes empty; rows that share a
-doc_id count as one document, so that none of them is a repeat of the other; rows without a doc_id stay as they are.
+doc_id count as one document, so that none of them is a repeat of the other, but each has its own repeats; rows without a doc_id stay as they are.
 """
 
 from __future__ import annotations
@@ -105,33 +105,34 @@ def cuts(hashes: list[int], window: int) -> list[int]:
 
 
 def units(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
-    """digest, doc_id, place, start, length, words: a row for each unit of each text; place counts a text's units."""
+    """digest, doc_id, text_key, place, start, length, words: a row for each unit of each text; place counts a text's units."""
 
     def run(batches):
         for b in slices(batches, limit=2 << 20):
-            digest, doc, place, start, length, words = [], [], [], [], [], []
-            for i, text in zip(b.column("doc_id").to_pylist(), texts(b).to_pylist(), strict=True):
+            digest, doc, key, place, start, length, words = [], [], [], [], [], [], []
+            for i, h, text in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), texts(b).to_pylist(), strict=True):
                 for k, (a, z, n, normal) in enumerate(units_of(text, params)):
                     digest.append(xxhash.xxh3_128_digest(normal.encode("utf-8", "surrogatepass")))
                     doc.append(i)
+                    key.append(h)
                     place.append(k)
                     start.append(a)
                     length.append(z - a)
                     words.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(words, pa.int32())],
-                ["digest", "doc_id", "place", "start", "length", "words"],
+                [pa.array(digest, pa.binary()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(words, pa.int32())],
+                ["digest", "doc_id", "text_key", "place", "start", "length", "words"],
             )
 
-    return only(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL").mapInArrow(run, "digest binary, doc_id long, place int, start long, length int, words int")
+    return only(docs, doc_id="long", text="string").withColumn("text_key", F.xxhash64("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "digest binary, doc_id long, text_key long, place int, start long, length int, words int")
 
 
 def repeats(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
-    """doc_id, found: the units of a document that occur earlier, each with the place of the first occurrence."""
+    """doc_id, text_key, found: the units of a text that occur earlier, each with the place of the first occurrence."""
     u = staged(units(docs, params), "units")
     first = u.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "start")).alias("kept")).filter("n > 1").drop("n")
     later = u.join(first, "digest").filter("doc_id <> kept.doc_id OR place <> kept.place")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "start", "length", "words", "kept"))).alias("found"))
+    return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("place", "start", "length", "words", "kept"))).alias("found"))
 
 
 def runs(found: list[dict], run_words: int) -> list[tuple[int, int, int, int]]:
@@ -171,9 +172,9 @@ def runs(found: list[dict], run_words: int) -> list[tuple[int, int, int, int]]:
 
 def dedup(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
     """All columns of ``docs`` with the repeats out of ``text``, and removed, n_removed (characters)."""
-    found = repeats(docs, params).select(F.col("doc_id").alias("_found_doc"), F.col("found").alias("_found"))
+    found = repeats(docs, params).select(F.col("doc_id").alias("_found_doc"), F.col("text_key").alias("_found_key"), F.col("found").alias("_found"))
     keep = [f for f in docs.schema.fields if f.name not in ("removed", "n_removed")]
-    d = docs.select(*[F.col(f"`{f.name}`") for f in keep]).join(found, F.col("doc_id").cast("long") == F.col("_found_doc"), "left").drop("_found_doc")
+    d = docs.select(*[F.col(f"`{f.name}`") for f in keep]).join(found, (F.col("doc_id").cast("long") == F.col("_found_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_found_key")), "left").drop("_found_doc", "_found_key")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + f", removed {REMOVED}, n_removed bigint"
     kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "kept_doc", "kept_start")]))
 
