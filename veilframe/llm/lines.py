@@ -19,6 +19,7 @@ doc_id count as one document, so that none of them is a repeat of the other, but
 from __future__ import annotations
 
 import bisect
+import functools
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import only, slices, staged, texts
+from veilframe.llm.common import MADE, drop_staged, only, slices, staged, texts
 
 #: A sentence ends with its punctuation before white space, a line at its end.
 UNIT = regex.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
@@ -43,6 +44,7 @@ class UnitParams:
     cut_words: int = 16
     word_bytes: int = 16
     window: int = 6
+    passes: int = 4
 
 
 def units_of(text: str, params: UnitParams):
@@ -128,11 +130,33 @@ def units(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
 
 
 def repeats(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
-    """doc_id, text_key, found: the units of a text that occur earlier, each with the place of the first occurrence."""
+    """doc_id, text_key, found: the units of a text that occur earlier, each with the place of the first occurrence.
+
+    Digests are compared in ``passes`` ranges one after the other, which bounds the disk that their shuffles take.
+    """
     u = staged(units(docs, params), "units")
-    first = u.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "start")).alias("kept")).filter("n > 1").drop("n")
-    later = u.join(first, "digest").filter("doc_id <> kept.doc_id OR place <> kept.place")
-    return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("place", "start", "length", "words", "kept"))).alias("found"))
+    path = MADE[-1:]
+    ends = [bytearray([256 * k // params.passes]) for k in range(1, params.passes)]
+    later = []
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        part = u if low is None else u.filter(F.col("digest") >= F.lit(low))
+        part = part if high is None else part.filter(F.col("digest") < F.lit(high))
+        first = part.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "start")).alias("kept")).filter("n > 1").drop("n")
+        later.append(released(part.join(first, "digest").filter("doc_id <> kept.doc_id OR place <> kept.place").drop("digest"), "repeats"))
+    drop_staged(docs.sparkSession, path)
+    found = functools.reduce(DataFrame.unionByName, later)
+    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("place", "start", "length", "words", "kept"))).alias("found"))
+
+
+def released(df: DataFrame, name: str) -> DataFrame:
+    """``df`` staged, its shuffle files deleted at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return staged(df, name)
+    finally:
+        conf.set(key, before)
 
 
 def runs(found: list[dict], run_words: int) -> list[tuple[int, int, int, int]]:
