@@ -97,6 +97,15 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_image(spark, sf_dir, work, "area long, n_components long").filter("vec_id < 60")
 
 
+@query()
+def largest_component_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``largest_component`` of every image, without SQL."""
+    roots = raster.components8(F.transform("hu", lambda x: x <= 0), SIDE)
+    d = images(spark, sf_dir).withColumn("roots", F.filter(roots, lambda x: x.isNotNull()))
+    areas = F.transform(F.array_distinct("roots"), lambda r: F.size(F.filter("roots", lambda x: x == r)).cast("long"))
+    return d.select("vec_id", F.coalesce(F.array_max(areas), F.lit(0).cast("long")).alias("area"), F.size(areas).cast("long").alias("n_components"))
+
+
 @query(f"""
 WITH RECURSIVE px AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, hu[i + 1] AS v FROM (SELECT vec_id, hu, unnest(range(64)) AS i FROM ({HU}))),
 reach AS (SELECT vec_id, r, c, 0 AS step FROM px WHERE r = 0 AND v < 250
