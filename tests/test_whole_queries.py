@@ -36,3 +36,17 @@ def test_largest_component_of_every_image(spark, tmp_path):
         want[r.vec_id] = (max(a, default=0), len(a))
     got = {r.vec_id: (r.area, r.n_components) for r in catalog.QUERIES["largest_component_whole"](spark, str(tmp_path)).collect()}
     assert got == want and len(got) == len(rows) > 60
+
+
+def test_whole_texts(spark, tmp_path):
+    made = [(14 * i, t) for i, t in enumerate(["ab " * 300 + "-" * 10 + " cd", "ab " * 300 + "-" * 9 + " cd", "x" * 10, "ab " * 300 + "\n" * 10 + "c", "", None, "... " * 200 + "a b", "... " * 200 + "a"], 1)]
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    real.filter("doc_id > 200 OR doc_id % 14 <> 0").union(spark.createDataFrame(made, real.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    runs = {r.doc_id: r.run for r in catalog.QUERIES["char_runs_whole"](spark, str(tmp_path)).collect()}
+    plausible = {r.doc_id: r.plausible for r in catalog.QUERIES["text_plausible_whole"](spark, str(tmp_path)).collect()}
+    assert [runs[i] for i, _ in made] == [True, False, True, False, False, False, False, False]
+    assert [plausible[i] for i, _ in made] == [True, True, True, True, False, False, True, False]
+    for r in rows:
+        s = r.text and r.text + chr(97 + r.doc_id % 26) * (r.doc_id % 14)
+        assert runs[r.doc_id] == any(len(set(g)) == 1 and g[0] != "\n" for g in (s[i : i + 10] for i in range(len(s or "") - 9)))

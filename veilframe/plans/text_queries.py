@@ -28,6 +28,12 @@ def text_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.plausible(F.col("s"), POLICY).alias("plausible"))
 
 
+@query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) >= 2 AS plausible FROM documents")
+def text_plausible_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_plausible`` of whole texts."""
+    return t(spark, sf_dir, "documents").select("doc_id", text.plausible(F.col("text"), POLICY).alias("plausible"))
+
+
 @query("""
 WITH tok AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM conversations),
 cnt AS (SELECT conv_id, turn, max(n) AS most FROM (SELECT conv_id, turn, w, count(*) AS n FROM tok WHERE w <> '' GROUP BY ALL) GROUP BY ALL)
@@ -48,6 +54,14 @@ def char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", text.char_run(s).alias("run"))
 
 
+@query()
+def char_runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``char_runs`` of whole texts, without SQL."""
+    k = F.col("doc_id")
+    s = F.concat("text", F.repeat(F.char((97 + k % 26).cast("int")), (k % 14).cast("int")))
+    return t(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.char_run(s), F.lit(False)).alias("run"))
+
+
 @query("SELECT page_id, sha256(regexp_replace(regexp_replace('<s>' || html || '<pad></s><loc_' || page_id || '> ', '</?s>|<pad>|<loc_[0-9]+>', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS stripped FROM pages")
 def strip_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.lit("<s>"), "html", F.lit("<pad></s><loc_"), F.col("page_id").cast("string"), F.lit("> "))
