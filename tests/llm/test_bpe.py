@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pyarrow as pa
 import pytest
@@ -33,6 +34,18 @@ def test_every_character(vocab, library):
         assert e.ids == ids[starts[i] : starts[i + 1]].tolist()
 
 
+def test_letters_with_marks(vocab, library):
+    """Composition comes before lower case: 50,000 texts of letters of both cases and combining marks."""
+    rng = random.Random(17)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *"ÄÖÜßéÑİıΣς", " ", "\n", "'", "1"]
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    probes = ["T\u0308", "J\u030c", "H\u0331", "W\u030a", "Y\u030a", "I\u0307"]
+    probes += ["".join(rng.choice(letters) + rng.choice(marks) * (rng.random() < 0.5) for _ in range(rng.randint(1, 8))) for _ in range(50_000)]
+    ids, starts = bpe.vocabulary(vocab).encode_flat(pa.array(probes, pa.large_string()))
+    for i, e in enumerate(library.encode_batch(probes, add_special_tokens=False)):
+        assert e.ids == ids[starts[i] : starts[i + 1]].tolist(), probes[i]
+
+
 def test_equal_symbols_merge_from_the_left(vocab, library):
     probes = ["a" * n for n in range(1, 40)] + ["ab" * n for n in range(1, 20)] + ["zz", "'s's'S"]
     ids, starts = bpe.vocabulary(vocab).encode_flat(pa.array(probes, pa.large_string()))

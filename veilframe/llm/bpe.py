@@ -193,10 +193,7 @@ class WordBPE:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(codes, code starts of each text, ids, first id and size of each chunk): texts share their chunks."""
-        text = pc.replace_substring(text, "\n", " ")
-        if not pc.any(pc.match_substring(text, "<|")).as_py():  # else the case of a special token's string counts
-            text = pc.ascii_lower(text)
-        parts = pc.split_pattern(text, " ")
+        parts = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
         flat = parts.flatten().dictionary_encode()
         ids, first, size = self.pooled(flat.dictionary.to_pylist())
         offsets = parts.offsets.to_numpy()
