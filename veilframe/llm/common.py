@@ -75,6 +75,14 @@ def only(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 @functools.lru_cache(1)
 def _trim():
     """The C library's way to give freed memory back, where it has one."""

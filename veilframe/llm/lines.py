@@ -1,151 +1,179 @@
 """Substring dedup by hashing units (operator 10).
 
-A unit is a line or, within it, a sentence; of a sentence with more than ``cut_words`` words, each stretch up to a word
-whose hash is the smallest of some ``window`` neighbours.  A window inside a passage picks the same word wherever the
-passage stands, and none goes without, so every passage of 51 words has units of its own for more than ``run_words``
-words, without any punctuation too.
-Units are normalised (lower case, single spaces) and hashed to 128 bits, those under ``unit_words`` words together with
-the words before them, so that as many words agree; a grouped minimum keeps each digest's earliest occurrence, ranked by (doc_id, place).
-All later ones are repeats.  Neighbouring repeats of a document make a run, which is removed where it has ``run_words``
-words or more; as all text is in units, nothing goes that doesn't occur earlier.  A line is a
-unit of its own beside its sentences, and goes wherever it repeats, however short it is; only a line of one word under
-``word_bytes`` bytes of UTF-8 stays outside of runs, as such words repeat by chance (that loses repeated one-word headers).
+Each line is a unit.  So that a repeated passage is found too where it doesn't fill whole lines, each text also has
+windows of ``window_words`` words as units, which begin at the local minima of its word weights: the (first) smallest
+of each ``window_words`` neighbours.  The choice depends on the words of the window alone, so a passage has the same
+windows wherever it stands, and one of 2 * window_words - 1 words has one at least.
+
+Units are normalised (A-Z in lower case, one space between words ``[^\\x20\\x09-\\x0D]+``) and hashed to 128 bits, lines
+and windows apart.  A grouped minimum keeps each digest's earliest occurrence, ranked by (doc_id, hash of the text, place); all later ones
+are cut out, whatever their length.  Only what such a unit covers is ever cut, so no word goes that isn't somewhere
+earlier, and a window that overlaps its own earlier occurrence loses only what lies beyond it.
 Offsets are code points of the original text and come with the place of the kept occurrence.
 
-Defined results: null and empty texts stay as they are; a text whose units all repeat becomes empty; rows that share a
-doc_id count as one document, so that none of them is a repeat of the other, but each has its own repeats; rows without a doc_id stay as they are.
+Defined results: null and empty texts stay as they are; a text that loses all its words becomes empty; rows with equal
+doc_id and text have equal results, of rows that share a doc_id alone each has its own repeats; rows without a doc_id stay as they
+are and keep nothing from others.  A text is cut as a whole, however long it is (some 40 times its bytes of memory).  Columns of ``docs`` named
+``removed`` or ``n_removed`` give way to those of ``dedup``; ``deduplicated`` returns all columns with their values.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import MADE, drop_staged, only, slices, staged, texts
+from veilframe.llm.common import MADE, drop_staged, free_name, mix64, only, slices, staged, texts
 
-#: A sentence ends with its punctuation before white space, a line at its end.
-UNIT = regex.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
-LINE = regex.compile(r"[^\n]+")
-WORD = regex.compile(r"\S+")
 REMOVED = "array<struct<start: bigint, length: bigint, kept_doc: bigint, kept_start: bigint>>"
+UNIT_TYPES = {"h1": "long", "h2": "long", "doc_id": "long", "text_key": "long", "start": "int", "length": "int"}
 
 
 @dataclass(frozen=True)
 class UnitParams:
-    unit_words: int = 4
-    run_words: int = 10
-    cut_words: int = 16
-    word_bytes: int = 16
-    window: int = 6
+    """``passes`` ranges of digests are compared one after the other, which bounds the disk that their shuffles take."""
+
+    window_words: int = 16
     passes: int = 4
 
 
-def units_of(text: str, params: UnitParams):
-    """(start, end, words, normal form) of each unit: sentences and stretches in order, then whole lines, whose words are 0.
+@dataclass
+class Words:
+    """The words of an array of texts, in order: their text's index, code points there, line, weight and two hashes."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    line: np.ndarray
+    weight: np.ndarray
+    hashes: np.ndarray
+
 
-    A line has a unit of its own where its sentences alone might not reach ``run_words``, or need words before the line.
+def words_of(text: pa.Array) -> Words:
+    """All words, from the bytes of the texts at once.
+
+    A word's weight is 2654435769 times the sum of (its lower-case bytes times their places, from 1), modulo 2 ** 32.
     """
-    whole, tail = [], []
-    for line in LINE.finditer(text):
-        start, end, line_words, counted = -1, -1, [], 0
-        for m in UNIT.finditer(text, *line.span()):
-            for a, z, words in pieces(m[0], m.start(), params):
-                n = len(words)
-                short = n < params.unit_words
-                yield a, z, n, (" ".join(tail[n - params.unit_words :]) + "\0" if short else "") + " ".join(words)
-                if not short or len(line_words) + n >= params.unit_words:
-                    counted += n
-                start, end = a if start < 0 else start, z
-                line_words += words
-                tail = (tail + words)[-params.unit_words :]
-        if counted < max(params.run_words, len(line_words)) and (len(line_words) > 1 or len("".join(line_words).encode("utf-8", "surrogatepass")) >= params.word_bytes):
-            whole.append((start, end, 0, "\n" + " ".join(line_words)))
-    yield from whole
-
-
-def pieces(sentence: str, at: int, params: UnitParams):
-    """(start, end, words) of a sentence that starts at ``at``, in stretches where it is long."""
-    words = sentence.lower().split()
-    if len(words) > params.cut_words:
-        yield from stretches(sentence, at, params)
-    elif words:
-        yield at + len(sentence) - len(sentence.lstrip()), at + len(sentence), words
-
-
-def stretches(sentence: str, at: int, params: UnitParams):
-    """The pieces of a long sentence."""
-    found = list(WORD.finditer(sentence))
-    words = [w[0].lower() for w in found]
-    begin = 0
-    for k in [*cuts([xxhash.xxh32_intdigest(w) for w in words], params.window), len(words) - 1]:
-        if k >= begin:
-            yield at + found[begin].start(), at + found[k].end(), words[begin : k + 1]
-            begin = k + 1
-
-
-def cuts(hashes: list[int], window: int) -> list[int]:
-    """The places of the (first) smallest hash of each ``window`` neighbours, in order."""
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    if blank.all():
+        none = np.zeros(0, np.int64)
+        return Words(none, none, none, none, none, np.zeros((0, 2), np.uint64))
+    edge = np.ones(len(raw) + 1, bool)
+    edge[1:-1] = blank[1:] != blank[:-1]
+    edge[ends] = True
+    at = np.flatnonzero(edge)
+    full = ~blank[at[:-1]]
+    begin, after = at[:-1][full], at[1:][full]
+    owner = np.searchsorted(ends, begin, "right") - 1
+    line = np.cumsum(raw == 10, dtype=np.int32)[begin] + owner
+    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)))
+    first = chars[ends[owner]]
+    start, end = chars[begin] - first, chars[after] - first
+    del chars, edge, at, full
+    # blanks count as zero bytes behind their word
+    lower = np.where(blank, 0, raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0)))[begin[0] :]
+    sizes = np.diff(np.append(begin, len(raw)))
+    place = np.arange(len(lower), dtype=np.int32) - np.repeat((begin - begin[0]).astype(np.int32), sizes)
+    heads = begin - begin[0]
+    weight = np.add.reduceat(lower * (place + np.int64(1)), heads) * 2654435769 % (1 << 32)
+    hashes = np.empty((len(begin), 2), np.uint64)
+    for k in range(2):
+        hashes[:, k] = mix64(np.add.reduceat(lower * factors(int(sizes.max()), 2 + k)[place], heads) ^ (after - begin).astype(np.uint64))
+    return Words(owner, start, end, line, weight, hashes)
+
+
+def factors(n: int, kind: int) -> np.ndarray:
+    """Odd multipliers of the places 0, ..., n - 1 in a sum that hashes a sequence."""
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(kind << 40)) | np.uint64(1)
+
+
+def digest(words: np.ndarray, heads: np.ndarray, sizes: np.ndarray, kind: int) -> list[np.ndarray]:
+    """128 bits, as two columns, for the words heads[i], ..., heads[i] + sizes[i] - 1 (rows of hashes), end to end."""
+    place = np.arange(len(words)) - np.repeat(heads, sizes)
     out = []
-    least = -1
-    for i in range(len(hashes) - window + 1):
-        if least < i:
-            part = hashes[i : i + window]
-            least = i + part.index(min(part))
-        elif hashes[i + window - 1] < hashes[least]:
-            least = i + window - 1
-        else:
-            continue
-        out.append(least)
+    for k in range(2):
+        total = np.add.reduceat(words[:, k] * factors(int(sizes.max()), 4 + 2 * kind + k)[place], heads) if len(heads) else np.zeros(0, np.uint64)
+        out.append(mix64(total ^ sizes.astype(np.uint64)).view(np.int64))
     return out
 
 
+def anchors(weight: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """Words where a window begins: the first smallest of ``size`` neighbours in one text, with as many words left."""
+    if len(weight) < size:
+        return np.zeros(0, np.int64)
+    whole = np.flatnonzero(owner[: len(owner) - size + 1] == owner[size - 1 :])
+    least = np.lib.stride_tricks.sliding_window_view(weight, size).argmin(1)[whole] + whole
+    found = least[np.concatenate(([True], least[1:] != least[:-1]))] if len(least) else least
+    found = found[found + size <= len(owner)]
+    return found[owner[found] == owner[found + size - 1]]
+
+
+def units_of(text: pa.Array, params: UnitParams) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(index of the text, digest columns, start, length) of each unit of an array of texts."""
+    words, w = words_of(text), params.window_words
+    n = len(words.owner)
+    heads = np.flatnonzero(np.concatenate(([True], words.line[1:] != words.line[:-1]))[:n])
+    sizes = np.diff(np.append(heads, n))
+    at = anchors(words.weight, words.owner, w)
+    members = words.hashes[(at[:, None] + np.arange(w)).ravel()]
+    of_lines = digest(words.hashes, heads, sizes, 0)
+    of_windows = digest(members, np.arange(len(at)) * w, np.full(len(at), w), 1)
+    begin, last = np.concatenate((heads, at)), np.concatenate((heads + sizes, at + w)) - 1
+    hashes = [np.concatenate(x) for x in zip(of_lines, of_windows, strict=True)]
+    return words.owner[begin], hashes, words.start[begin], words.end[last] - words.start[begin]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_key of the rows that have an id."""
+    return only(docs, doc_id="long", text="string").withColumn("text_key", F.xxhash64("text")).filter("doc_id IS NOT NULL")
+
+
 def units(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
-    """digest, doc_id, text_key, place, start, length, words: a row for each unit of each text; place counts a text's units."""
+    """h1, h2 (digest), doc_id, text_key, start, length: a row for each unit of each text."""
 
     def run(batches):
         for b in slices(batches, limit=2 << 20):
-            digest, doc, key, place, start, length, words = [], [], [], [], [], [], []
-            for i, h, text in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), texts(b).to_pylist(), strict=True):
-                for k, (a, z, n, normal) in enumerate(units_of(text, params)):
-                    digest.append(xxhash.xxh3_128_digest(normal.encode("utf-8", "surrogatepass")))
-                    doc.append(i)
-                    key.append(h)
-                    place.append(k)
-                    start.append(a)
-                    length.append(z - a)
-                    words.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(words, pa.int32())],
-                ["digest", "doc_id", "text_key", "place", "start", "length", "words"],
-            )
-
-    return only(docs, doc_id="long", text="string").withColumn("text_key", F.xxhash64("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "digest binary, doc_id long, text_key long, place int, start long, length int, words int")
+            text, (h1, h2), start, length = units_of(texts(b), params)
+            row = pa.array(text)
+            columns = [pa.array(h1), pa.array(h2), b.column("doc_id").take(row), b.column("text_key").take(row), pa.array(start, pa.int32()), pa.array(length, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, list(UNIT_TYPES))
 
+    return keyed(docs).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in UNIT_TYPES.items()))
 
-def repeats(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
-    """doc_id, text_key, found: the units of a text that occur earlier, each with the place of the first occurrence.
 
-    Digests are compared in ``passes`` ranges one after the other, which bounds the disk that their shuffles take.
-    """
+def repeats(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
+    """doc_id, text_key, found: what is to be cut of a text, unit by unit, each with the place of its first occurrence."""
     u = staged(units(docs, params), "units")
     path = MADE[-1:]
-    ends = [bytearray([256 * k // params.passes]) for k in range(1, params.passes)]
+    width = (1 << 64) // params.passes
+    ends = [width * k - (1 << 63) for k in range(1, params.passes)]
     later = []
     for low, high in zip([None, *ends], [*ends, None], strict=True):
-        part = u if low is None else u.filter(F.col("digest") >= F.lit(low))
-        part = part if high is None else part.filter(F.col("digest") < F.lit(high))
-        first = part.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "start")).alias("kept")).filter("n > 1").drop("n")
-        later.append(released(part.join(first, "digest").filter("doc_id <> kept.doc_id OR place <> kept.place").drop("digest"), "repeats"))
+        part = u if low is None else u.filter(F.col("h1") >= low)
+        part = part if high is None else part.filter(F.col("h1") < high)
+        later.append(released(later_ones(part), "repeats"))
     drop_staged(docs.sparkSession, path)
     found = functools.reduce(DataFrame.unionByName, later)
-    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("place", "start", "length", "words", "kept"))).alias("found"))
+    return found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length", "kept_doc", "kept_start")).alias("found"))
+
+
+def later_ones(u: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, length, kept_doc, kept_start of each unit that has an earlier occurrence."""
+    rank = F.struct("doc_id", "text_key", "start", "length")
+    first = u.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
+    d = u.join(first, ["h1", "h2"]).filter("doc_id <> kept.doc_id OR text_key <> kept.text_key OR start <> kept.start")
+    # a window may overlap its earlier occurrence in the same text, which stays whole
+    own = "CASE WHEN doc_id = kept.doc_id AND text_key = kept.text_key THEN kept.start + kept.length ELSE 0 END"
+    d = d.withColumn("begin", F.expr(f"greatest(start, {own})"))
+    return d.selectExpr("doc_id", "text_key", "begin AS start", "start + length - begin AS length", "kept.doc_id AS kept_doc", "kept.start AS kept_start").filter("length > 0")
 
 
 def released(df: DataFrame, name: str) -> DataFrame:
@@ -159,74 +187,63 @@ def released(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
-def runs(found: list[dict], run_words: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, kept doc, kept start) of what is removed, from a document's repeats in order of their places."""
-    groups: list[list[dict]] = []
-    for x in (x for x in found if x["words"]):
-        if groups and x["place"] == groups[-1][-1]["place"] + 1:
-            groups[-1].append(x)
-        else:
-            groups.append([x])
-    groups = [g for g in groups if sum(x["words"] for x in g) >= run_words]
-    begins = [g[0]["start"] for g in groups]
-    alone = []
-    for x in (x for x in found if not x["words"]):
-        k = bisect.bisect_right(begins, x["start"]) - 1
-        if k < 0 or groups[k][-1]["start"] + groups[k][-1]["length"] < x["start"] + x["length"]:
-            alone.append(x)
-    begins = [x["start"] for x in alone]
-
-    def inside(x: dict) -> bool:
-        k = bisect.bisect_right(begins, x["start"]) - 1
-        return k >= 0 and x["start"] < alone[k]["start"] + alone[k]["length"]
-
+def merged(found: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(start, end, kept doc, kept start) of the stretches that overlapping cuts make; each has the kept place of its first."""
     out: list[tuple[int, int, int, int]] = []
-    last = None
-    for x in sorted([*alone, *(x for g in groups for x in g if not inside(x))], key=lambda x: x["start"]):
-        end, kept = x["start"] + x["length"], x["kept"]
-        joins = last and last["words"] and x["words"] and last["place"] + 1 == x["place"]
-        if joins and last["kept"]["doc_id"] == kept["doc_id"] and last["kept"]["place"] + 1 == kept["place"]:
-            a, _, d, s = out.pop()
-            out.append((a, end, d, s))
+    for x in sorted(found, key=lambda x: (x["start"], -x["length"], x["kept_doc"], x["kept_start"])):
+        end = x["start"] + x["length"]
+        if out and x["start"] < out[-1][1]:
+            a, z, d, s = out[-1]
+            out[-1] = (a, max(z, end), d, s)
         else:
-            out.append((x["start"], end, kept["doc_id"], kept["start"]))
-        last = x
+            out.append((x["start"], end, x["kept_doc"], x["kept_start"]))
     return out
 
 
-def dedup(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
-    """All columns of ``docs`` with the repeats out of ``text``, and removed, n_removed (characters)."""
-    found = repeats(docs, params).select(F.col("doc_id").alias("_found_doc"), F.col("text_key").alias("_found_key"), F.col("found").alias("_found"))
-    keep = [f for f in docs.schema.fields if f.name not in ("removed", "n_removed")]
-    d = docs.select(*[F.col(f"`{f.name}`") for f in keep]).join(found, (F.col("doc_id").cast("long") == F.col("_found_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_found_key")), "left").drop("_found_doc", "_found_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + f", removed {REMOVED}, n_removed bigint"
+def without(text: str, cuts: list[tuple[int, int, int, int]]) -> str:
+    """The text without the stretches; empty where no word is left of it."""
+    parts, at = [], 0
+    for a, z, _, _ in cuts:
+        parts.append(text[at:a])
+        at = z
+    left = "".join([*parts, text[at:]])
+    return left if left.strip(" \t\n\x0b\x0c\r") else ""
+
+
+def cleaned(docs: DataFrame, params: UnitParams, removed: str, n_removed: str) -> DataFrame:
+    """``docs`` with the repeats out of ``text``, and the two named columns behind its own."""
+    key, doc, found = (free_name(docs, x) for x in ("found_key", "found_doc", "found"))
+    r = repeats(docs, params).toDF(doc, key, found)
+    keep = docs.schema.fields
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+    d = docs.join(r, same, "left").drop(doc, key)
+    schema = ", ".join([*(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in keep), f"`{removed}` {REMOVED}, `{n_removed}` bigint"])
     kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "kept_doc", "kept_start")]))
 
     def run(batches):
         for b in slices(batches):
-            text, removed, total = [], [], []
-            for t, f in zip(b.column("text").to_pylist(), b.column("_found").to_pylist(), strict=True):
-                cuts = runs(f, params.run_words) if f and t else []
-                if cuts:
-                    parts, at = [], 0
-                    for a, z, _, _ in cuts:
-                        parts.append(t[at:a])
-                        at = z
-                    t = "".join([*parts, t[at:]])
-                    t = t if t.strip() else ""
-                text.append(t)
-                removed.append([{"start": a, "length": z - a, "kept_doc": d, "kept_start": s} for a, z, d, s in cuts])
+            text, spans, total = [], [], []
+            for t, f in zip(b.column("text").to_pylist(), b.column(found).to_pylist(), strict=True):
+                cuts = merged(f) if f else []
+                text.append(without(t, cuts) if cuts else t)
+                spans.append([{"start": a, "length": z - a, "kept_doc": d, "kept_start": s} for a, z, d, s in cuts])
                 total.append(sum(z - a for a, z, _, _ in cuts))
-            own = {"text": pa.array(text, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(own.get(f.name, b.column(f.name) if f.name != "text" else None) for f in keep), pa.array(removed, kind), pa.array(total, pa.int64())], [*(f.name for f in keep), "removed", "n_removed"])
+            columns = [pa.array(text, pa.string()) if f.name == "text" else b.column(f.name) for f in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind), pa.array(total, pa.int64())], [*(f.name for f in keep), removed, n_removed])
 
     return d.mapInArrow(run, schema)
 
 
+def dedup(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
+    """All columns of ``docs`` with the repeats out of ``text``, and removed (stretches), n_removed (characters)."""
+    return cleaned(docs.drop("removed", "n_removed"), params, "removed", "n_removed")
+
+
 def deduplicated(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
     """``docs`` with the repeats out of ``text`` and ``n_chars``, where it has one, in step; same columns."""
-    out = dedup(docs, params)
+    spans, count = (free_name(docs, x) for x in ("removed", "n_removed"))
+    out = cleaned(docs, params, spans, count)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veilframe.llm.lines import UnitParams
 from veilframe.llm.rules import COMMON, RuleParams
 
 P = RuleParams()
@@ -58,4 +59,31 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.doc = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-ORACLES = {"op2_quality_rules": QUALITY_RULES, "op9_ngram_jaccard_join": JACCARD}
+#: Words with their places and weights, windows at the first smallest weights, lines, and what the earliest of each leaves.
+W = UnitParams().window_words
+UNIT_DEDUP = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text <> '')),
+ls AS (SELECT r, generate_subscripts(l, 1) AS ln, unnest(l) AS line FROM (SELECT r, string_split(translate(text, chr(9) || chr(11) || chr(12) || chr(13), '    '), chr(10)) AS l FROM d)),
+lo AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l0 FROM ls),
+ps AS (SELECT r, ln, l0, generate_subscripts(p, 1) AS pn, unnest(p) AS piece FROM (SELECT *, string_split(line, ' ') AS p FROM lo)),
+po AS (SELECT *, l0 + coalesce(sum(length(piece) + 1) OVER (PARTITION BY r, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM ps),
+w AS MATERIALIZED (SELECT r, ln, row_number() OVER (PARTITION BY r ORDER BY ln, pn) AS i, translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, a::BIGINT AS a, (a + length(piece))::BIGINT AS z FROM po WHERE piece <> ''),
+v AS MATERIALIZED (SELECT w, list_sum(list_transform(range(1, length(h) // 2 + 1), lambda k: k * (16 * (instr('0123456789ABCDEF', h[2 * k - 1]) - 1) + instr('0123456789ABCDEF', h[2 * k]) - 1)))::BIGINT * 2654435769 % 4294967296 AS v
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM w))),
+m AS MATERIALIZED (SELECT r, i, min(v * 1000000 + i) OVER n % 1000000 AS least, count(*) OVER n AS n, string_agg(w, ' ') OVER n AS words, max(z) OVER n AS z, a FROM w JOIN v USING (w)
+  WINDOW n AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING)),
+u AS MATERIALIZED (SELECT r, 0 AS kind, string_agg(w, ' ' ORDER BY i) AS words, min(a) AS a, max(z) AS z FROM w GROUP BY r, ln
+  UNION ALL SELECT m.r, 1, m.words, m.a, m.z FROM m JOIN (SELECT DISTINCT r, least FROM m WHERE n = {W}) x ON x.r = m.r AND x.least = m.i WHERE m.n = {W}),
+k AS (SELECT kind, words, min(struct_pack(r := r, a := a, z := z)) AS k FROM u GROUP BY 1, 2),
+c AS (SELECT u.r, CASE WHEN u.r = k.k.r THEN greatest(u.a, k.k.z) ELSE u.a END AS a, u.z, k.k.r AS kr, k.k.a AS ka FROM u JOIN k ON k.kind = u.kind AND k.words = u.words WHERE u.r <> k.k.r OR u.a <> k.k.a),
+o AS (SELECT c.r, a, z, doc_id AS kd, ka, row_number() OVER (PARTITION BY c.r ORDER BY a, z DESC, doc_id, ka) AS nr FROM c JOIN d ON d.r = kr WHERE a < z),
+e AS (SELECT *, coalesce(max(z) OVER (PARTITION BY r ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+g AS (SELECT *, sum(CASE WHEN nr = 1 OR a >= before THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY nr) AS g FROM e),
+s AS (SELECT r, g, min(a) AS a, max(z) AS z, arg_min(kd, nr) AS kd, arg_min(ka, nr) AS ka, min(before) FILTER (nr = 1 OR a >= before) AS before FROM g GROUP BY 1, 2),
+f AS (SELECT s.r, string_agg(s.a || ':' || (s.z - s.a) || ':' || kd || ':' || ka, ' ' ORDER BY s.a) AS removed, string_agg(substr(text, before + 1, s.a - before), '' ORDER BY s.a) || substr(any_value(text), max(s.z) + 1) AS left_text
+  FROM s JOIN d ON d.r = s.r GROUP BY 1)
+SELECT x.doc_id, CASE WHEN removed IS NULL THEN x.text WHEN regexp_matches(left_text, '[^\\x20\\x09-\\x0D]') THEN left_text ELSE '' END AS text, coalesce(removed, '') AS removed
+FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id AND d.text = x.text LEFT JOIN f ON f.r = d.r
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY_RULES, "op9_ngram_jaccard_join": JACCARD, "op10_unit_dedup": UNIT_DEDUP}

@@ -57,8 +57,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with their repeats taken out: what is left, and the original offsets of what isn't."""
-    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed")
+    """The documents with their repeats taken out; removed has the stretches as start:length:kept_doc:kept_start."""
+    parts = F.transform("removed", lambda x: F.concat_ws(":", *[x[k].cast("string") for k in ("start", "length", "kept_doc", "kept_start")]))
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", F.array_join(parts, " ").alias("removed"))
 
 
 def _bounded(query):
