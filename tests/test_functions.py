@@ -93,9 +93,9 @@ def test_kernel_size_is_reproducible(spark):
 
 
 def test_folders(spark):
-    rows = [("P", "A", ""), ("P", "A", "b"), ("P", "A", "a/z"), ("P", "A", "a/y/q"), ("Q", "B", "m")]
-    got = {(r.patient_old, r.rel_dir): r.new_dir for r in ordering.renamed_folders(spark.createDataFrame(rows, "new_id string, patient_old string, rel_dir string"), 2).collect()}
-    assert got == {("A", ""): "", ("A", "b"): "P_2", ("A", "a/z"): "P_1/P_2", ("A", "a/y/q"): "P_1/P_1/q", ("B", "m"): "Q_1"}
+    rows = [("P", "A", ""), ("P", "A", "b"), ("P", "A", "a/z"), ("P", "A", "a/y/q"), ("P", "A", "s/t/u/v/w/DOE_JOHN"), ("P", "A", "s/t/u/v/w/DOE_JANE/1"), ("Q", "B", "m")]
+    got = {(r.patient_old, r.rel_dir): r.new_dir for r in ordering.renamed_folders(spark.createDataFrame(rows, "new_id string, patient_old string, rel_dir string")).collect()}
+    assert got == {("A", ""): "", ("A", "b"): "P_2", ("A", "a/z"): "P_1/P_2", ("A", "a/y/q"): "P_1/P_1/P_1", ("A", "s/t/u/v/w/DOE_JOHN"): "P_3" + "/P_1" * 4 + "/P_2", ("A", "s/t/u/v/w/DOE_JANE/1"): "P_3" + "/P_1" * 4 + "/P_1/P_1", ("B", "m"): "Q_1"}
 
 
 def test_empty_series_is_an_error(spark):

@@ -77,7 +77,8 @@ def test_whole_run(spark, cohort, tmp_path):
     audit = r.audit.collect()
     assert [(a.source_filename, a.decision, a.patient_old_id, a.patient_new_id, a.instance_number, a.sop_instance_uid) for a in audit] == [("y.dcm", "REDACTED", "A", "P1", 1, "1.2.3.2")] and audit[0].n_redacted_regions >= 1
     assert r.audit.columns == pipeline.reports.AUDIT
-    assert {x.finding for x in r.qc.collect()} <= set()
+    # all slices refer to one of patient A's: patient C's output doesn't hold it
+    assert [(x.patient_new_id, x.source_filename, x.finding) for x in r.qc.collect()] == [("P3", "one.dcm", "unresolved_reference")]
     errors = {x.file: x.error for x in r.errors.collect()}
     assert "cut.dcm" in errors and "A/s1/notes.txt" in errors
     account = {x.rel_dir + "|" + x.new_id: x for x in r.accounting.collect()}
@@ -114,6 +115,43 @@ def test_mapping_needs_its_columns(spark):
         Policy(date="today")
 
 
+def test_last_row_wins_in_the_order_of_files(spark, tmp_path):
+    """Also where the later file is read in an earlier partition: larger files go first there."""
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.csv").write_text("original_folder_name,new_folder_name\n" + "".join(f"X{i},Y{i}\n" for i in range(500)) + "A,P1\n")
+    (tmp_path / "m/b.csv").write_text("original_folder_name,new_folder_name\nA,P2\nA,P3\n")
+    files = sorted(p.as_uri() for p in (tmp_path / "m").iterdir())
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.option("header", True).csv(list(reversed(files))).withColumn(mapping.ORDER, place)
+    assert mapping.clean_mapping(raw).filter("original_folder_name = 'A'").first().new_folder_name == "P3"
+
+
+def test_a_run_needs_a_key_of_its_own(spark, cohort):
+    root, ids = cohort
+    with pytest.raises(ValueError):
+        pipeline.run(spark, Policy(), root, mapping.read_mapping(spark, ids))
+
+
+def test_references_to_what_is_not_published_are_found(spark, tmp_path):
+    """One reference to a published slice, one to a slice of nobody: only the second is a finding."""
+    (tmp_path / "in/A/s").mkdir(parents=True)
+    (tmp_path / "in/A/s/x.dcm").write_bytes(head_slice("1.2.3.1", "1", phantom()))
+    (tmp_path / "in/A/s/y.dcm").write_bytes(head_slice("1.2.3.2", "2", phantom()).replace(b"1.2.3.1\x00", b"1.2.3.7\x00"))
+    table = spark.createDataFrame([("A", "P1")], "original_folder_name string, new_folder_name string")
+    r = pipeline.run(spark, Policy(uid_key="secret"), str(tmp_path / "in"), table)
+    found = [(x.source_filename, x.finding, x.tag) for x in r.qc.collect()]
+    assert found == [("y.dcm", "unresolved_reference", "(0008,1155)")]
+
+
+def test_names_in_deep_folders_are_not_published(spark, tmp_path):
+    deep = tmp_path / "in/A/study/series/sub/deep/JOHN_DOE_19500101"
+    deep.mkdir(parents=True)
+    (deep / "x.dcm").write_bytes(head_slice("1.2.3.1", "1", phantom()))
+    table = spark.createDataFrame([("A", "P1")], "original_folder_name string, new_folder_name string")
+    r = pipeline.run(spark, Policy(uid_key="secret"), str(tmp_path / "in"), table)
+    assert [x.path for x in r.files.select("path").collect()] == ["P1" + "/P1_1" * 5 + "/P1_00001.dcm"]
+
+
 def test_streams(spark, tmp_path):
     rows = [("p", "DA", "00080020", ["20200101"]), ("p", "UI", "00080018", ["1.2.3"]), ("p", "LO", "00080080", ["x"])]
     spark.createDataFrame(rows, "patient string, vr string, tag string, value array<string>").write.parquet(str(tmp_path / "in"))

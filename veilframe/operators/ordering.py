@@ -27,18 +27,19 @@ def folder_ranks(folders: DataFrame, parent: list[str], name: str) -> DataFrame:
     return folders.withColumn("place", F.dense_rank().over(Window.partitionBy(*parent).orderBy(name)))
 
 
-def renamed_folders(dirs: DataFrame, depth: int) -> DataFrame:
-    """patient, rel_dir, new_dir: each level's name becomes new_id and its place in the original parent folder.
+def renamed_folders(dirs: DataFrame) -> DataFrame:
+    """new_id, patient_old, rel_dir, new_dir: on every level, a name becomes new_id and its place in the original parent folder.
 
-    ``dirs`` has new_id, patient_old, rel_dir; ``depth`` levels are renamed, all deeper ones stay as they are.
+    ``dirs`` has new_id, patient_old, rel_dir.  All prefixes of the paths are ranked at once, however deep they are.
     """
     keys = ["new_id", "patient_old", "rel_dir"]
-    d = dirs.select(*keys).distinct().withColumn("parts", F.split("rel_dir", "/")).withColumn("made", F.array().cast("array<string>"))
-    for level in range(depth):
-        parent = F.array_join(F.slice("parts", 1, level), "/")
-        name = F.get("parts", F.lit(level))
-        here = (F.size("parts") > level) & (F.col("rel_dir") != "")
-        rank = F.dense_rank().over(Window.partitionBy("patient_old", parent, here).orderBy(name))
-        d = d.withColumn("made", F.when(here, F.concat("made", F.array(F.concat("new_id", F.lit("_"), rank.cast("string"))))).otherwise(F.col("made")))
-    rest = F.slice("parts", depth + 1, F.greatest(F.size("parts") - depth, F.lit(0)))
-    return d.select(*keys, F.array_join(F.concat("made", F.when(F.col("rel_dir") == "", F.array().cast("array<string>")).otherwise(rest)), "/").alias("new_dir"))
+    d = dirs.select(*keys).distinct()
+    parts = F.when(F.col("rel_dir") != "", F.split("rel_dir", "/"))
+    steps = d.withColumn("parts", parts).select(*keys, "parts", F.posexplode("parts").alias("level", "name"))
+    steps = steps.select(*keys, "level", F.array_join(F.slice("parts", 1, F.col("level")), "/").alias("parent"), "name")
+    place = ["patient_old", "level", "parent", "name"]
+    ranked = folder_ranks(steps.select(*place).distinct(), ["patient_old", "level", "parent"], "name")
+    made = F.concat("new_id", F.lit("_"), F.col("place").cast("string"))
+    new = steps.join(ranked, place).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("level", made.alias("made")))).alias("steps"))
+    new = new.select(*keys, F.array_join(F.transform("steps", lambda x: x["made"]), "/").alias("new_dir"))
+    return d.join(new, keys, "left").select(*keys, F.coalesce("new_dir", F.lit("")).alias("new_dir"))

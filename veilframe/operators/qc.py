@@ -55,6 +55,12 @@ def missing_declarations(elements: DataFrame, instances: DataFrame) -> DataFrame
     return want.join(have, ["instance_id", "tag"], "left_anti").select("instance_id", F.lit("missing_declaration").alias("finding"), "tag", "name", F.lit("").alias("detail"))
 
 
+def produced_instances(elements: DataFrame) -> DataFrame:
+    """patient, uid of the SOP instances in ``elements``, those of the published files."""
+    own = elements.filter((F.col("scope") == "dataset") & (F.col("depth") == 0) & (F.col("tag") == "00080018"))
+    return own.select("patient", F.explode("value").alias("uid"))
+
+
 def unresolved_references(elements: DataFrame, produced: DataFrame) -> DataFrame:
     """References to instances that the patient's output doesn't hold; ``produced`` has patient, uid."""
     refs = elements.filter((F.col("scope") == "dataset") & (F.col("depth") >= 1) & (F.col("tag") == "00081155")).select("instance_id", "patient", "tag", strip(F.get("value", F.lit(0))).alias("uid")).filter("uid <> ''")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.config import Policy
+from veilframe.config import TEST_KEY, Policy
 from veilframe.functions import cohort, geometry, raster, text
 from veilframe.operators import detect, elements, kernels, ordering, qc, reports
 from veilframe.sinks import dicom as sink
@@ -96,7 +96,7 @@ def written_pixels() -> list[tuple[str, str]]:
     return [("00280100", "16"), ("00280101", "16"), ("00280102", "15"), ("00280103", "1")]
 
 
-def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: DataFrame, factory: Callable[[], detect.Engine] = detect.LineEngine, force: bool = False, folder_depth: int = 4, work: str | None = None) -> Result:
+def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: DataFrame, factory: Callable[[], detect.Engine] = detect.LineEngine, force: bool = False, work: str | None = None) -> Result:
     """All tables of a run over the files below ``input_root``.
 
     With ``work``, a folder that all executors share, parsed headers, rewritten elements and the decisions about slices
@@ -104,6 +104,9 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
     them, to mask them) however many tables follow.  Without it, nothing is written and each table starts anew.
     """
 
+    if policy.uid_key in ("", TEST_KEY):
+        raise ValueError("the policy needs a uid_key of its own: who knows the key can recompute the new UIDs")
+
     def kept(df: DataFrame, name: str) -> DataFrame:
         if work is None:
             return df
@@ -135,7 +138,7 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
     seen = detect.examined(slices.filter("want"), factory, policy)
     slices = slices.join(seen, "instance_id", "left")
     slices = detect.decided(slices, policy).withColumn("failed", F.col("raster_error").isNotNull() | F.col("held")).withColumn("error", F.coalesce("raster_error", F.when(F.col("held"), F.col("detect_status"))))
-    dirs = ordering.renamed_folders(accepted.select("new_id", "patient_old", "rel_dir"), folder_depth)
+    dirs = ordering.renamed_folders(accepted.select("new_id", "patient_old", "rel_dir"))
     slices = slices.join(dirs, ["new_id", "patient_old", "rel_dir"])
     out_path = F.concat_ws("/", "new_id", F.when(F.col("new_dir") != "", F.col("new_dir")), ordering.output_name(F.col("new_id"), F.col("position")))
     slices = slices.withColumn("out_path", out_path).withColumn("series_folder", F.element_at(F.split(F.concat_ws("/", "patient_old", F.when(F.col("rel_dir") != "", F.col("rel_dir"))), "/"), -1))
@@ -143,7 +146,7 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
     slices = kept(slices.drop("hu", "gray"), "slices")
     good = slices.filter(~F.col("failed") & ~F.coalesce(F.col("decision") == "DROPPED", F.lit(False)))
     images = masked(good.join(shots.drop("raster_error"), "instance_id"), policy).join(good.select("instance_id", "out_path"), "instance_id")
-    produced = rewritten.filter("vr = 'UI'").select("patient", F.explode("value").alias("uid"))
+    produced = qc.produced_instances(rewritten.join(good.select("instance_id"), "instance_id", "left_semi"))
     heads_out = accepted.select("instance_id", F.when(F.lit(policy.zero_preamble) & F.col("preamble").isNotNull(), F.lit(b"\x00" * 128)).otherwise(F.col("preamble")).alias("preamble"))
     findings = qc.findings(rewritten, heads_out, produced, policy).join(slices.select("instance_id", F.col("new_id").alias("patient_new_id"), "series_folder", "source_filename"), "instance_id")
     accounting = reports.series_accounting(slices, ["new_id", "rel_dir", "series_folder"])

@@ -278,7 +278,27 @@ SELECT o_custkey, o_orderstatus || '/' || o_orderpriority AS rel_dir, 'P' || o_c
 def subdir_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t(spark, sf_dir, "orders")
     dirs = o.select(F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("new_id"), F.col("o_custkey").alias("patient_old"), F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("rel_dir"))
-    return ordering.renamed_folders(dirs, 2).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
+    return ordering.renamed_folders(dirs).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
+
+
+DEEP_LEVELS = ["o_orderstatus", "o_orderpriority", "substr(CAST(o_orderdate AS VARCHAR), 1, 4)", "substr(CAST(o_orderdate AS VARCHAR), 6, 2)", "o_clerk", "'Doe^Jane'"]
+
+
+def _deep_sql() -> str:
+    ranks = ", ".join(f"dense_rank() OVER (PARTITION BY k{''.join(f', p{j}' for j in range(i))} ORDER BY p{i}) AS r{i}" for i in range(len(DEEP_LEVELS)))
+    parts = ", ".join(f"{x} AS p{i}" for i, x in enumerate(DEEP_LEVELS))
+    join = lambda made: " || '/' || ".join(made(i) for i in range(len(DEEP_LEVELS)))
+    new_name = lambda i: f"'P' || k || '_' || r{i}"
+    return f"SELECT k AS o_custkey, {join(lambda i: f'p{i}')} AS rel_dir, {join(new_name)} AS new_dir FROM (SELECT *, {ranks} FROM (SELECT DISTINCT o_custkey AS k, {parts} FROM orders))"
+
+
+@query(_deep_sql())
+def subdir_rank_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six levels of folders, a name in the last: none of the original names is left."""
+    levels = [F.expr(x.replace("VARCHAR", "STRING")) for x in DEEP_LEVELS]
+    o = t(spark, sf_dir, "orders")
+    dirs = o.select(F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("new_id"), F.col("o_custkey").alias("patient_old"), F.concat_ws("/", *levels).alias("rel_dir"))
+    return ordering.renamed_folders(dirs).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
 
 
 CONF = "CASE WHEN event_id % 9 = 0 THEN NULL ELSE abs(value) - floor(abs(value)) END"

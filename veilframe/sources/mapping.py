@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from veilframe.functions.text import strip
 
 COLUMNS = ["original_folder_name", "new_folder_name"]
+#: Column of a raw mapping that orders its rows, where it has one.
+ORDER = "_mapping_order"
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """CSV by Spark, Excel by pandas on the driver (a table of one row per patient)."""
     ext = path.rsplit(".", 1)[-1].lower()
     if ext == "csv":
-        raw = spark.read.option("header", True).csv(path)
+        # rows in the order of files, then of their lines
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+        raw = spark.read.option("header", True).csv(path).withColumn(ORDER, place)
     elif ext in ("xlsx", "xls"):
         import pandas as pd
 
@@ -29,7 +33,7 @@ def clean_mapping(raw: DataFrame) -> DataFrame:
     missing = [c for c in COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"the mapping has no column {', '.join(missing)}")
-    d = raw.select(*[strip(F.col(c).cast("string")).alias(c) for c in COLUMNS], F.monotonically_increasing_id().alias("position"))
+    d = raw.select(*[strip(F.col(c).cast("string")).alias(c) for c in COLUMNS], (F.col(ORDER) if ORDER in raw.columns else F.monotonically_increasing_id()).alias("position"))
     return last_wins(d.filter("original_folder_name <> '' AND new_folder_name <> ''"), "original_folder_name", "position").drop("position")
 
 
