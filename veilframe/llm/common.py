@@ -52,11 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written once as a table in the shared folder and read again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read again: cuts lineage, survives lost executors.
+
+    With ``by``, its rows lie in folders by that column, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
     MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ UNIT_TYPES = {"h1": "long", "h2": "long", "doc_id": "long", "text_key": "long",
 
 @dataclass(frozen=True)
 class UnitParams:
-    """``passes`` ranges of digests are compared one after the other, which bounds the disk that their shuffles take."""
+    """Digests are compared in ``passes`` parts, one after the other, which bounds the disk that their shuffles take."""
 
     window_words: int = 16
     passes: int = 4
@@ -151,24 +151,29 @@ def units(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
 
 def repeats(docs: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
     """doc_id, text_key, found: what is to be cut of a text, unit by unit, each with the place of its first occurrence."""
-    u = staged(units(docs, params), "units")
+    u = staged(units(docs, params).withColumn("pass", F.pmod("h1", F.lit(params.passes)).cast("int")), "units", by="pass")
     path = MADE[-1:]
-    width = (1 << 64) // params.passes
-    ends = [width * k - (1 << 63) for k in range(1, params.passes)]
     later = []
-    for low, high in zip([None, *ends], [*ends, None], strict=True):
-        part = u if low is None else u.filter(F.col("h1") >= low)
-        part = part if high is None else part.filter(F.col("h1") < high)
-        later.append(released(later_ones(part), "repeats"))
+    for k in range(params.passes):
+        part = u.filter(F.col("pass") == k).drop("pass")
+        later.append(released(later_ones(part, released(earliest(part), "earliest")), "repeats"))
+        drop_staged(docs.sparkSession, MADE[-2:-1])
     drop_staged(docs.sparkSession, path)
     found = functools.reduce(DataFrame.unionByName, later)
     return found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length", "kept_doc", "kept_start")).alias("found"))
 
 
-def later_ones(u: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, length, kept_doc, kept_start of each unit that has an earlier occurrence."""
+def earliest(u: DataFrame) -> DataFrame:
+    """h1, h2, kept (the first occurrence) of the digests that occur more than once; aggregated before the shuffle too."""
     rank = F.struct("doc_id", "text_key", "start", "length")
-    first = u.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
+    return u.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
+
+
+def later_ones(u: DataFrame, first: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, length, kept_doc, kept_start of each unit that has an earlier occurrence.
+
+    ``first`` is a table, so that both sides of the join are plain shuffles, whose hot digests AQE splits.
+    """
     d = u.join(first, ["h1", "h2"]).filter("doc_id <> kept.doc_id OR text_key <> kept.text_key OR start <> kept.start")
     # a window may overlap its earlier occurrence in the same text, which stays whole
     own = "CASE WHEN doc_id = kept.doc_id AND text_key = kept.text_key THEN kept.start + kept.length ELSE 0 END"
