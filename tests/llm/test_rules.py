@@ -44,7 +44,7 @@ def test_verdicts(spark, edges, nothing):
     assert not r[4].kept and not r[12].kept and r[4].char_distance is None
     assert rules.judge(nothing).count() == 0
     got = rules.accepted(edges)
-    assert got.columns == edges.columns
+    assert got.columns == edges.columns and {(r._row_key, r.row_key, r.kept) for r in got.collect()} == {("own _row_key", "own row_key", "own kept")}
     assert 4 not in {x.doc_id for x in got.collect()} and rules.accepted(nothing).count() == 0
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import only, slices, texts
+from veilframe.llm.common import free_name, only, slices, texts
 
 BITS = 15
 
@@ -105,11 +105,11 @@ def train(docs: DataFrame, label: str = "lang", params: LangIdParams = LangIdPar
     return names, np.log(counts / counts.sum(1, keepdims=True))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], params: LangIdParams = LangIdParams()) -> DataFrame:
-    """All columns of ``docs`` but clashing ones, and lang_pred, score."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], params: LangIdParams = LangIdParams(), made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs``, and those that ``made`` names, language and score, which replace columns of their name."""
     names, logs = model
     sent = docs.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    keep = [f for f in docs.schema.fields if f.name not in made]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
 
     def run(batches):
@@ -127,9 +127,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], params: LangId
                 mean = (total - total.max(0)) / n[some] * np.minimum(n[some], params.sharpness)
                 score[some] = 1 / np.exp(mean).sum(0)
                 pred[some] = np.array(names, object)[best]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(pred, pa.string()), pa.array(score)], [*(f.name for f in keep), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(pred, pa.string()), pa.array(score)], [*(f.name for f in keep), *made])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, f"{schema}, `{made[0]}` string, `{made[1]}` double")
 
 
 def identify(docs: DataFrame, params: LangIdParams = LangIdParams()) -> DataFrame:
@@ -141,4 +141,6 @@ def identify(docs: DataFrame, params: LangIdParams = LangIdParams()) -> DataFram
 def filter_known(docs: DataFrame, min_score: float = 0.3, params: LangIdParams = LangIdParams()) -> DataFrame:
     """The rows of ``docs`` whose text is in a language of the corpus with at least ``min_score``; same columns."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), "lang", params)
-    return predict(docs, model, params).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pred, score = made = free_name(docs, "lang_pred"), free_name(docs, "score")
+    known = predict(docs, model, params, made).filter((F.col(pred) != "und") & (F.col(score) >= min_score))
+    return known.select(*[F.col(f"`{c}`") for c in docs.columns])

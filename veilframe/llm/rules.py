@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import only, staged
+from veilframe.llm.common import free_name, only, staged
 
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -127,7 +127,7 @@ def accepted(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
 
     Rejections come back by doc_id and a hash of the row, so rows that share a doc_id but not a text stay apart.
     """
-    out = verdicts(docs, params).filter(~F.col("kept")).select(F.col("doc_id").alias("out_id"), F.col("row_key").alias("out_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("out_id")) & (F.col("_row_key") == F.col("out_key"))
-    return keyed.join(out, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, key = free_name(docs, "out_id"), free_name(docs, "out_key")
+    out = verdicts(docs, params).filter(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (row_key() == F.col(key))
+    return docs.join(out, same, "left_anti")
