@@ -77,6 +77,18 @@ def test_large_regions_by_brute_force(spark, params):
     assert got(df, **params) == brute(rows)
 
 
+def test_one_row_of_each_component(spark, edges):
+    """Repeated rows, null ids, shared ids and copies in other case: one row stays of each linked group, with its own columns."""
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(5, text, "b"), (5, text, "a"), (5, text, "a"), (7, text.upper(), "c"), (None, text, "d"), (None, text, "d"), (5, other, "e"), (None, "only here", "f"), (None, "only here", "f"), (8, None, "g"), (8, None, "g"), (None, "", "h")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    assert sorted(got, key=repr) == sorted([(5, text, "a"), (5, other, "e"), (None, "only here", "f"), (8, None, "g"), (8, None, "g"), (None, "", "h")], key=repr)
+    kept = jaccard.one_of_each(edges)
+    want = {repr(r) for r in edges.collect()}
+    assert all(repr(r) in want for r in kept.collect()) and kept.schema.simpleString() == edges.schema.simpleString()
+
+
 def test_components_of_a_chain(spark):
     n = 40
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")

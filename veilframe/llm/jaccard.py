@@ -13,7 +13,9 @@ Exact copies of a shingle set are one class before the join.  Shingles are 64-bi
 
 Defined results: a null or empty text, or one without words, has no shingles and is a component by itself; fewer words
 than the shingle length make one shingle; repeated rows and equal texts are one class; the component of a class is
-the smallest doc_id that its links reach.  A row whose doc_id is null takes its class's id, null where it has none.
+the smallest doc_id that its links reach, null where all of them are.  Rows that share a doc_id are linked by their own texts alone.
+Ties in the order of shingles or pivots change no result.  A text is cut into shingles as a whole, some 40 times its bytes of memory.  Other
+columns, also with clashing names, don't enter; ``one_of_each`` returns them with their values.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.common import mix64, only, ranges, slices, staged, string_hashes, texts, word_codes
+from veilframe.llm.common import free_name, mix64, only, ranges, slices, staged, string_hashes, texts, word_codes
 
 
 @dataclass(frozen=True)
@@ -90,8 +92,23 @@ def frequent_order(docs: DataFrame, params: JoinParams) -> np.ndarray:
     return got.column("h").to_numpy()[::-1]
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def noded(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id (unique but for equal texts), own (the row's doc_id), text, text_key; whether a row may be repeated).
+
+    Where a doc_id is null or stands at different texts, all rows get a 64-bit hash of doc_id and text for an id.
+    """
+    d = only(docs, doc_id="long", text="string").withColumn("text_key", text_key(F.col("text"))).withColumn("own", F.col("doc_id"))
+    ids = d.groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n"))
+    shared, most = ids.agg(F.bool_or(F.expr("doc_id IS NULL OR lo <> hi")), F.max("n")).first()
+    return (d.withColumn("doc_id", F.xxhash64("own", "text_key")) if shared else d), (most or 0) > 1
+
+
 def shingled(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, cls (digest of the shingle set), n, common (frequent members), prefix: the window of pivots, in order."""
+    """doc_id, own, text_key, cls (digest of the shingle set), n, common (frequent members), prefix: the window of pivots, in order."""
     spark = docs.sparkSession
     order = frequent_order(docs, params)
     by_hash = np.argsort(order.view(np.uint64))
@@ -116,9 +133,10 @@ def shingled(docs: DataFrame, params: JoinParams) -> DataFrame:
                 cls.append(hashlib.blake2b(h[a:z].tobytes() or str(doc).encode(), digest_size=16).digest())
                 rows.append(np.sort(keys[a:z])[:k] if common[i] else keys[a : a + k])
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array((np.concatenate(rows) if rows else keys[:0]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.binary()), pa.array(n), pa.array(common), prefix], ["doc_id", "cls", "n", "common", "prefix"])
+            columns = [b.column("doc_id"), b.column("own"), b.column("text_key"), pa.array(cls, pa.binary()), pa.array(n), pa.array(common), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "text_key", "cls", "n", "common", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, cls binary, n long, common long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, own long, text_key long, cls binary, n long, common long, prefix array<long>")
 
 
 def may_link(percent: int) -> str:
@@ -255,11 +273,13 @@ def representatives(rows: DataFrame, reps: DataFrame, params: JoinParams) -> Dat
 
 
 def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, cls, n; members: cls, rep; components of linked representatives: id, comp)."""
-    d = only(docs, doc_id="long", text="string")
+    """(rows: doc_id, own, text_key, cls, n; members: cls, rep; components of linked representatives: id, comp)."""
+    d, repeated = noded(docs)
     rows = staged(shingled(d, params), "shingles")
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     first = representatives(rows, reps, params)
+    if repeated:  # aggregated before the shuffle too
+        first = first.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n", "common", "prefix")])
     regions = staged(region_rows(first, params), "regions")
     tried = staged(first_pairs(regions, params), "pairs")
     found = staged(measured(d, staged(possible(tried, first, params), "possible"), params), "measured")
@@ -293,14 +313,34 @@ def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[Data
         m *= 4
 
 
+def with_components(rows: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` with comp: an id of the component of each row with words."""
+    named = reps.join(comps, reps.rep == comps.id, "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
+    return rows.join(named, "cls", "left")
+
+
 def near_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    rows, reps, comps = classes_of(docs, params)
-    named = reps.join(comps, reps.rep == comps.id, "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
-    return rows.select("doc_id", "cls", "n").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    d = with_components(*classes_of(docs, params)).select("own", "n", "comp")
+    least = d.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("least"))
+    d = d.join(least, "comp", "left")
+    return d.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("own")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """The rows of ``docs`` that have their component's id, or none; same columns."""
-    keep = near_components(docs, params).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi")
+    """One row of each component of linked rows: that of its smallest (doc_id, hash of the text), null ids last; of rows
+    that share both, the smallest by their other columns.  Rows without words are linked with nothing and all stay;
+    all columns of ``docs`` with their values."""
+    d = with_components(*classes_of(docs, params)).filter("n > 0")
+    d = d.select(F.col("comp").alias("g"), F.struct(F.col("own").isNull().alias("last"), F.col("own").alias("doc_id"), "text_key").alias("row"))
+    d = d.groupBy("g", "row").count()
+    d = staged(d.join(d.groupBy("g").agg(F.min("row").alias("kept")), "g").select("row.doc_id", "row.text_key", "count", (F.col("row") == F.col("kept")).alias("stays")), "choice")
+    doc, key = free_name(docs, "choice_doc"), free_name(docs, "choice_key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_key(F.col("text")) == F.col(key))
+    left = docs.join(d.filter("NOT stays").select("doc_id", "text_key").toDF(doc, key), same, "left_anti")
+    many = d.filter("stays AND count > 1").select("doc_id", "text_key").toDF(doc, key)
+    if not many.limit(1).count():
+        return left
+    # equal rows: a grouped minimum, which is taken before the shuffle too
+    several = left.join(many, same).groupBy(doc, key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r")).select("r.*")
+    return left.join(many, same, "left_anti").unionByName(several)
