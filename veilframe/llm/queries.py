@@ -20,7 +20,7 @@ def word_vocabulary() -> str:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source is its host, the language section of that source its path."""
     path = F.concat_ws("/", "source", "lang")
-    return sites.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
+    return sites.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path, sites.SiteParams(hold_out=True))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
