@@ -22,6 +22,24 @@ def test_balance_slots_and_sums(small, edges, nothing):
     assert sharding.assign(nothing).count() == 0
 
 
+def test_hot_places_in_parts(spark):
+    """A third of the rows are one row: its place is ranked in parts, with the same laws."""
+    d = spark.range(3000).selectExpr("IF(id < 1000, 7, id) AS doc_id", "IF(id < 1000, 'same', string(id)) AS text").repartition(5)
+    got = sharding.assign(d, sharding.RingParams(part_rows=50)).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 3000 and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+    assert sum(r.doc_id == 7 for r in got) == 1000
+
+
+def test_movement_without_slack(spark):
+    """From 16 to 17 shards at equal counts: 1 in 17 must move, overflow moves some more."""
+    d = spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text")
+    a, b = ({r.doc_id: r.shard for r in sharding.assign(d, sharding.RingParams(n)).collect()} for n in (16, 17))
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert 1 / 17 - 0.001 <= moved < 0.12
+
+
 def test_walk_is_the_ring_one_by_one():
     """The walk over counts against keys placed singly."""
     rng = np.random.default_rng(1)
