@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilframe.llm import jpeg
@@ -128,3 +129,26 @@ def test_damaged_media(spark):
 def test_stored_column_reads_back(small):
     media = jpeg.stored_texts(small.limit(5))
     assert jpeg.thumbnails(media).filter("error IS NULL").count() == 5
+
+
+def test_long_texts_in_runs(spark):
+    """The same values whether a text goes as one slice or in runs, at all sizes around an image; memory stays bounded."""
+    sizes = [0, 1, 575, 576, 577, jpeg.MOST - 1, jpeg.MOST, jpeg.MOST + 1, 3 * jpeg.MOST + 5]
+    rng = np.random.default_rng(3)
+    for n in sizes:
+        raw = rng.integers(32, 127, n).astype(np.uint8)
+        text = pa.array([raw.tobytes().decode(), ""], pa.large_string())
+        payload, _, units = jpeg.payloads(text)
+        whole = jpeg.store(payload, units)[0]
+        assert b"".join(jpeg.stored_in_runs(raw, 2 * jpeg.MOST)) == whole
+        (images,) = jpeg.read([whole])
+        back = b"".join(t.tobytes() for _, _, t in images)
+        assert back == raw.tobytes() + b"\xff" * (len(back) - n)
+        assert jpeg.digest_in_runs(raw, 2 * jpeg.MOST) == (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), jpeg.feature(images))
+    import tracemalloc
+
+    raw = rng.integers(32, 127, 20 << 20).astype(np.uint8)
+    tracemalloc.start()
+    jpeg.digest_in_runs(raw, 1 << 20)
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(raw)
+    tracemalloc.stop()

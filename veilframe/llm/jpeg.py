@@ -9,8 +9,11 @@ Reading: markers are parsed, stuffed bytes and restart markers come out, and the
 of a slice that share their tables are decoded in lock-step, one symbol of each interval at a time, any baseline
 sampling and any AC coefficients included.  The DC coefficients of the luminance are the thumbnail.
 
+Texts longer than a step are stored and read back image by image, so that their memory is some times their own bytes.
+
 Defined results: a null or empty text is one payload unit of 255s; a medium that isn't baseline JPEG gives null
-features and the reason.  Rows keep their number, repeated rows included.
+features and the reason.  Rows keep their number, repeated rows and those that share a doc_id included; equal texts have equal values.
+Other columns, also with clashing names, don't enter.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -362,13 +365,55 @@ def payloads(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, sizes, units
 
 
+def runs_of(raw: np.ndarray, step: int):
+    """The payload of one text, in padded runs of whole images of about ``step`` bytes; an empty text has one run."""
+    per = max(1, step // MOST) * MOST
+    for at in range(0, max(1, len(raw)), per):
+        part = raw[at : at + per]
+        size = max(1, -(-len(part) // UNIT)) * UNIT
+        yield np.concatenate((part, np.full(size - len(part), 255, np.uint8)))
+
+
+def stored_in_runs(raw: np.ndarray, step: int):
+    """Media of the runs of one text; end to end they are its medium."""
+    for payload in runs_of(raw, step):
+        yield store(payload, np.array([len(payload) // UNIT]))[0]
+
+
+def digest_in_runs(raw: np.ndarray, step: int) -> tuple:
+    """What ``digests`` returns of one text, but for its doc_id."""
+    payload, media, tail, sizes, features = hashlib.sha256(), hashlib.sha256(), b"", [0, 0], []
+    for medium in stored_in_runs(raw, step):
+        (images,) = read([medium])
+        if isinstance(images, NotBaseline):
+            raise images
+        back = b"".join(t.tobytes() for _, _, t in images)
+        payload.update(back)
+        media.update(medium)
+        tail = (tail + back)[-32:]
+        sizes = [sizes[0] + len(back), sizes[1] + len(medium)]
+        features.append(feature(images))
+    return len(raw), sizes[0], payload.hexdigest(), zlib.crc32(tail), sizes[1], media.hexdigest(), "+".join(features)
+
+
+def utf8(text: pa.Array) -> np.ndarray:
+    """The bytes of the only text of an array."""
+    a, z = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + 2]
+    return np.frombuffer(text.buffers()[2] or b"", np.uint8)[a:z]
+
+
 def stored_texts(docs: DataFrame, step: int = 1 << 20) -> DataFrame:
     """doc_id, media binary: each whole text as a medium."""
 
     def run(batches):
         for b in slices(batches, limit=step):
-            payload, _, units = payloads(texts(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(store(payload, units), pa.binary())], ["doc_id", "media"])
+            text = texts(b)
+            if b.num_rows == 1:
+                media = [b"".join(stored_in_runs(utf8(text), step))]
+            else:
+                payload, _, units = payloads(text)
+                media = store(payload, units)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, media binary")
 
@@ -391,10 +436,17 @@ def thumbnails(media: DataFrame, step: int = 1 << 20) -> DataFrame:
 
 def digests(docs: DataFrame, step: int = 1 << 20) -> DataFrame:
     """Sizes and digests of each text stored and read back, without the media themselves."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
         for b in slices(batches, limit=step):
-            payload, sizes, units = payloads(texts(b))
+            text = texts(b)
+            if b.num_rows == 1:
+                got = [[x] for x in digest_in_runs(utf8(text), step)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(got, kinds, strict=True))], names)
+                continue
+            payload, sizes, units = payloads(text)
             media = store(payload, units)
             back, features = [], []
             for images in read(media):
@@ -405,7 +457,7 @@ def digests(docs: DataFrame, step: int = 1 << 20) -> DataFrame:
             sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes), pa.array([len(x) for x in back], pa.int64()), sha(back), pa.array([zlib.crc32(x[-32:]) for x in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), sha(media), pa.array(features)],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                names,
             )
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
