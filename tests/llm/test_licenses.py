@@ -42,7 +42,7 @@ def test_finds_every_template_whole_and_worn(spark):
         rows.append((k, f"{words(rng, 30)}. {text} {words(rng, 30)}"))
         want.add((k, name))
         if len(lic.words_of(text)) > 20:
-            worn = text.split()
+            worn = lic.words_of(text)
             for i in range(5, len(worn), 15):
                 worn[i] = "changed"
             rows.append((100 + k, f"{words(rng, 3)} {' '.join(worn).upper()}"))
@@ -66,6 +66,34 @@ def test_candidates_lose_nothing(small):
     assert got == want and got
 
 
+def test_every_copy_is_counted():
+    """One to four copies of every template, one after another or with text between, whole and worn."""
+    rng = random.Random(5)
+    for name, text in sorted(lic.TEMPLATES.items()):
+        template = lic.words_of(text)
+        for n in (1, 2, 3, 4):
+            for between in (0, 1, 40):
+                for worn in (False, True)[: 1 if name == "WTFPL" else 2]:  # that one ends as it begins
+                    made = words(rng, 7).split()
+                    for _ in range(n):
+                        copy = list(template)
+                        if worn and len(copy) > 20:
+                            for i in range(rng.randrange(5), len(copy), 12):
+                                copy[i] = "changed"
+                        made += copy + words(rng, between).split()
+                    got = lic.best_window(made, template, 0.8)
+                    assert got and got[3] == n, (name, n, between, worn, got)
+                    assert got[0] == 1 if not worn else got[0] >= 0.8
+
+
+def test_foreign_words_between_all():
+    rng = random.Random(6)
+    for name in ("MIT-grant", "ISC", "Apache-2.0-header", "GPL-3.0-notice"):
+        template = lic.words_of(lic.TEMPLATES[name])
+        made = [x for w in template for x in (w, *words(rng, 2).split())]
+        assert lic.best_window(made, template, 0.8)[0] == 1
+
+
 def test_copies_and_edges(spark, edges, nothing):
     d = spark.createDataFrame([(1, "mit mit. Released under the MIT License.\n" * 3)], "doc_id long, text string")
     (r,) = [x for x in lic.scan(d).collect() if x.license == "MIT-notice"]
