@@ -96,15 +96,15 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def noded(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc_id (unique but for equal texts), own (the row's doc_id), text, text_key; whether a row may be repeated).
+def noded(docs: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """(doc_id (unique but for equal texts), own (the row's doc_id), text, text_key; whether the two ids differ; whether a row may be repeated).
 
     Where a doc_id is null or stands at different texts, all rows get a 64-bit hash of doc_id and text for an id.
     """
     d = only(docs, doc_id="long", text="string").withColumn("text_key", text_key(F.col("text"))).withColumn("own", F.col("doc_id"))
     ids = d.groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n"))
     shared, most = ids.agg(F.bool_or(F.expr("doc_id IS NULL OR lo <> hi")), F.max("n")).first()
-    return (d.withColumn("doc_id", F.xxhash64("own", "text_key")) if shared else d), (most or 0) > 1
+    return (d.withColumn("doc_id", F.xxhash64("own", "text_key")) if shared else d), bool(shared), (most or 0) > 1
 
 
 def shingled(docs: DataFrame, params: JoinParams) -> DataFrame:
@@ -272,9 +272,20 @@ def representatives(rows: DataFrame, reps: DataFrame, params: JoinParams) -> Dat
     return rows.join(reps, (rows.cls == reps.cls) & (rows.doc_id == reps.rep)).select(*wanted)
 
 
-def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """own, text_key, cls, n, comp, least of each row: its class, that class's component and the component's smallest doc_id."""
+    d, hashed, repeated = noded(docs)
+    rows, reps, comps = linked(d, repeated, params)
+    named = reps.join(comps, reps.rep == comps.id, "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
+    out = rows.join(named, "cls", "left").select("own", "text_key", "cls", "n", "comp")
+    if not hashed:
+        return out.withColumn("least", F.col("comp"))
+    least = out.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("least"))
+    return out.join(least, "comp", "left")
+
+
+def linked(d: DataFrame, repeated: bool, params: JoinParams) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, own, text_key, cls, n; members: cls, rep; components of linked representatives: id, comp)."""
-    d, repeated = noded(docs)
     rows = staged(shingled(d, params), "shingles")
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     first = representatives(rows, reps, params)
@@ -313,25 +324,17 @@ def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> tuple[Data
         m *= 4
 
 
-def with_components(rows: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """``rows`` with comp: an id of the component of each row with words."""
-    named = reps.join(comps, reps.rep == comps.id, "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
-    return rows.join(named, "cls", "left")
-
-
 def near_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    d = with_components(*classes_of(docs, params)).select("own", "n", "comp")
-    least = d.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("least"))
-    d = d.join(least, "comp", "left")
-    return d.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("own")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("own"))
+    return classes_of(docs, params).select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """One row of each component of linked rows: that of its smallest (doc_id, hash of the text), null ids last; of rows
     that share both, the smallest by their other columns.  Rows without words are linked with nothing and all stay;
     all columns of ``docs`` with their values."""
-    d = with_components(*classes_of(docs, params)).filter("n > 0")
+    d = classes_of(docs, params).filter("n > 0")
     d = d.select(F.col("comp").alias("g"), F.struct(F.col("own").isNull().alias("last"), F.col("own").alias("doc_id"), "text_key").alias("row"))
     d = d.groupBy("g", "row").count()
     d = staged(d.join(d.groupBy("g").agg(F.min("row").alias("kept")), "g").select("row.doc_id", "row.text_key", "count", (F.col("row") == F.col("kept")).alias("stays")), "choice")
