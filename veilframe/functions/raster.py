@@ -78,22 +78,3 @@ def anterior(iop: Column) -> tuple[Column, Column]:
     rows = F.coalesce(F.abs(dr) >= F.abs(dc), F.lit(True))
     d = F.when(rows, dr).otherwise(dc)
     return F.when(rows, 0).otherwise(1), F.when(iop.isNull() | (F.size(iop) != 6) | (d > 0), 1).otherwise(-1)
-
-
-def components8(mask: Column, side: int) -> Column:
-    """The first place of each pixel's 8-connected component, null outside of the mask; ``side`` pixels a row.
-
-    Minima spread by one pixel a step; no shortest path has as many steps as there are pixels.
-    """
-    start = F.transform(mask, lambda m, i: F.when(m, i))
-
-    def spread(lab: Column, _: Column) -> Column:
-        def near(v: Column, i: Column) -> Column:
-            c = i % side
-            at = lambda x, ok: F.when(ok & (x >= 0), F.get(lab, x))
-            here = [at(i + dy * side + dx, c + dx < side if dx > 0 else c + dx >= 0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-            return F.when(v.isNotNull(), F.least(v, *here))
-
-        return F.transform(lab, near)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(side * side)), start, spread)

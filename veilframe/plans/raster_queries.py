@@ -85,25 +85,16 @@ def each_image(spark: SparkSession, sf_dir: str, work, schema: str) -> DataFrame
 
 
 @query(f"""
-WITH RECURSIVE px AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, i FROM (SELECT vec_id, hu, unnest(range(64)) AS i FROM ({HU}) WHERE vec_id < 60) WHERE hu[i + 1] <= 0),
+WITH RECURSIVE px AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, i FROM (SELECT vec_id, hu, unnest(range(64)) AS i FROM ({HU})) WHERE hu[i + 1] <= 0),
 reach AS (SELECT vec_id, i, r, c, i AS root FROM px
   UNION SELECT p.vec_id, p.i, p.r, p.c, reach.root FROM reach JOIN px p ON p.vec_id = reach.vec_id AND abs(p.r - reach.r) <= 1 AND abs(p.c - reach.c) <= 1),
 lab AS (SELECT vec_id, i, min(root) AS root FROM reach GROUP BY ALL), area AS (SELECT vec_id, root, count(*) AS n FROM lab GROUP BY ALL)
 SELECT vec_id, max(n) AS area, count(*) AS n_components FROM area GROUP BY 1
 """)
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of the largest 8-connected component of HU <= 0; images as many as the recursion in SQL can follow."""
+    """Size of the largest 8-connected component of HU <= 0, in every image."""
     work = lambda a: {"area": int(kernels.largest_component(a <= 0).sum()), "n_components": kernels.labels8(a <= 0)[1]}
-    return each_image(spark, sf_dir, work, "area long, n_components long").filter("vec_id < 60")
-
-
-@query()
-def largest_component_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``largest_component`` of every image, without SQL."""
-    roots = raster.components8(F.transform("hu", lambda x: x <= 0), SIDE)
-    d = images(spark, sf_dir).withColumn("roots", F.filter(roots, lambda x: x.isNotNull()))
-    areas = F.transform(F.array_distinct("roots"), lambda r: F.size(F.filter("roots", lambda x: x == r)).cast("long"))
-    return d.select("vec_id", F.coalesce(F.array_max(areas), F.lit(0).cast("long")).alias("area"), F.size(areas).cast("long").alias("n_components"))
+    return each_image(spark, sf_dir, work, "area long, n_components long").filter("n_components > 0")
 
 
 @query(f"""

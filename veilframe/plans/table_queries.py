@@ -281,7 +281,7 @@ def subdir_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.renamed_folders(dirs).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
 
 
-DEEP_LEVELS = ["o_orderstatus", "o_orderpriority", "substr(CAST(o_orderdate AS VARCHAR), 1, 4)", "substr(CAST(o_orderdate AS VARCHAR), 6, 2)", "o_clerk", "'Doe^Jane'"]
+DEEP_LEVELS = ["o_orderstatus", "o_orderpriority", "substr(CAST(o_orderdate AS VARCHAR), 1, 4)", "substr(CAST(o_orderdate AS VARCHAR), 6, 2)", "CAST(o_orderkey % 7 AS VARCHAR)", "'Doe^Jane'"]
 
 
 def _deep_sql() -> str:

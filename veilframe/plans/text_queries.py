@@ -22,15 +22,8 @@ def alnum_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", text.alnum_count(F.col("text")).alias("n"))
 
 
-@query("SELECT doc_id, length(regexp_replace(substr(text, 1, (doc_id % 4)::BIGINT), '[^A-Za-z0-9]', '', 'g')) >= 2 AS plausible FROM documents")
-def text_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents").withColumn("s", F.substr(F.col("text"), F.lit(1), (F.col("doc_id") % 4).cast("int")))
-    return d.select("doc_id", text.plausible(F.col("s"), POLICY).alias("plausible"))
-
-
 @query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) >= 2 AS plausible FROM documents")
-def text_plausible_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``text_plausible`` of whole texts."""
+def text_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", text.plausible(F.col("text"), POLICY).alias("plausible"))
 
 
@@ -44,19 +37,13 @@ def hallucination_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_contains(f, "too_long").alias("too_long"), F.array_contains(f, "repetitive").alias("repetitive"))
 
 
-@query("""
-SELECT doc_id, list_bool_or(list_transform(range(1, greatest(length(s) - 8, 1)), lambda i: substr(s, i, 10) = repeat(substr(s, i, 1), 10) AND substr(s, i, 1) <> chr(10))) IS TRUE AS run
-FROM (SELECT doc_id, substr(text, 1, 200) || repeat(chr((97 + doc_id % 26)::INTEGER), (doc_id % 14)::INTEGER) AS s FROM documents)
+@query(f"""
+SELECT doc_id, coalesce(regexp_matches(text || repeat(chr((97 + doc_id % 26)::INTEGER), (doc_id % 14)::INTEGER), '{"|".join(f"[{c}]{{10}}" for c in (chr(97 + i) for i in range(26)))}')
+  OR list_bool_or(list_transform(list_distinct(string_split(text, '')), lambda c: c <> chr(10) AND contains(text, repeat(c, 10)))), false) AS run
+FROM documents
 """)
 def char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    s = F.concat(F.substring("text", 1, 200), F.repeat(F.char((97 + k % 26).cast("int")), (k % 14).cast("int")))
-    return t(spark, sf_dir, "documents").select("doc_id", text.char_run(s).alias("run"))
-
-
-@query()
-def char_runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``char_runs`` of whole texts, without SQL."""
+    """Runs of ten equal characters in whole texts, some with a run at their end."""
     k = F.col("doc_id")
     s = F.concat("text", F.repeat(F.char((97 + k % 26).cast("int")), (k % 14).cast("int")))
     return t(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.char_run(s), F.lit(False)).alias("run"))

@@ -1,6 +1,6 @@
 """Rule tables of the de-identification policy, as data.
 
-The texts below are fixed values: tags (group element) and attribute names that results depend on.
+The texts below are fixed values: tags (group and element, 8 hex digits, one a line) and attribute names that results depend on.
 """
 
 from __future__ import annotations
@@ -9,20 +9,112 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Elements that get a dummy value by type, sequences among them are deleted.
 DUMMY = """
-0008: 0014 0018 0050 0054 0080 0081 0090 0092 0094 010C 010D 0201 1010 1048 1050 1060 1070 1150 1155 3010 9123
-0010: 0010 0020 0021 0030 0032 0033 0034 0035 1000 1001 1005 1040 2150 2152 2154 2295 2299
-0012: 0010 0020 0030 0031 0040 0042 0060 0071
-0018: 1000 1250 1251
-0020: 000D 000E 0010 0052 0200 1000 9056 9164
-0032: 000A 000C 0012
-0038: 0008 0010 0011 0300 0400
-0040: 0001 0010 0031 0032 0033 0035 0241 0242 1010 2008 2009 2010 2016 2017 A075 A123 A124
-0070: 0080 0084
-0088: 0130 0140
-0400: 0005 0010 0020 0100 0115 0120 0564
-3006: 0024 00A6 00C2
-300A: 0182
-4008: 0040 010A 010C 0114 0119 011A 0200 0210 0212
+00080014
+00080018
+00080050
+00080054
+00080080
+00080081
+00080090
+00080092
+00080094
+0008010C
+0008010D
+00080201
+00081010
+00081048
+00081050
+00081060
+00081070
+00081150
+00081155
+00083010
+00089123
+00100010
+00100020
+00100021
+00100030
+00100032
+00100033
+00100034
+00100035
+00101000
+00101001
+00101005
+00101040
+00102150
+00102152
+00102154
+00102295
+00102299
+00120010
+00120020
+00120030
+00120031
+00120040
+00120042
+00120060
+00120071
+00181000
+00181250
+00181251
+0020000D
+0020000E
+00200010
+00200052
+00200200
+00201000
+00209056
+00209164
+0032000A
+0032000C
+00320012
+00380008
+00380010
+00380011
+00380300
+00380400
+00400001
+00400010
+00400031
+00400032
+00400033
+00400035
+00400241
+00400242
+00401010
+00402008
+00402009
+00402010
+00402016
+00402017
+0040A075
+0040A123
+0040A124
+00700080
+00700084
+00880130
+00880140
+04000005
+04000010
+04000020
+04000100
+04000115
+04000120
+04000564
+30060024
+300600A6
+300600C2
+300A0182
+40080040
+4008010A
+4008010C
+40080114
+40080119
+4008011A
+40080200
+40080210
+40080212
 """
 
 # Order-entry elements, deleted at any depth up to 8.
@@ -98,15 +190,40 @@ ETHNIC_GROUP = "00102160"
 
 # Free-text descriptors, blanked; sequences among them are deleted.
 DESCRIPTORS = """
-0008: 0080 0081 1030 103E 1040 1080 1084 2111 4000
-0010: 2000 2110 21B0 4000
-0018: 1030 1400 4000 9424
-0020: 4000
-0028: 4000
-0032: 1030 1060 4000
-0038: 0040 0500 4000
-0040: 0007 0254 0280 1400 2001 2400 3001
-4008: 011A 0300
+00080080
+00080081
+00081030
+0008103E
+00081040
+00081080
+00081084
+00082111
+00084000
+00102000
+00102110
+001021B0
+00104000
+00181030
+00181400
+00184000
+00189424
+00204000
+00284000
+00321030
+00321060
+00324000
+00380040
+00380500
+00384000
+00400007
+00400254
+00400280
+00401400
+00402001
+00402400
+00403001
+4008011A
+40080300
 """
 
 # Names of dates and times in the log of changed tags.
@@ -206,16 +323,11 @@ ANGIO = ["angio", "cta", "perfusion"]
 HARDENED_SEQUENCES = ["04000500", "04000550", "04000561", "FFFAFFFA"]
 
 
-def tags(text: str) -> list[str]:
-    """Tags (8 hex digits) of a table given by groups."""
-    return [g + e for g, _, es in (line.partition(":") for line in text.split("\n") if line) for e in es.split()]
-
-
 def named(text: str) -> dict[str, str]:
     return dict(line.split() for line in text.split("\n") if line)
 
 
-DUMMY_TAGS, DESCRIPTOR_TAGS = tags(DUMMY), tags(DESCRIPTORS)
+DUMMY_TAGS, DESCRIPTOR_TAGS = DUMMY.split(), DESCRIPTORS.split()
 ORDER_ENTRY_TAGS, EXTRA_TAGS, FILE_META_TAGS = named(ORDER_ENTRY), named(EXTRA), named(FILE_META)
 DATE_TAGS, EMPTY_TAGS = named(DATE_NAMES), named(MUST_BE_EMPTY)
 #: Union of the two deletion tables.

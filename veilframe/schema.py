@@ -14,8 +14,9 @@ POINTS = "array<struct<x: double, y: double>>"
 HITS = f"array<struct<points: {POINTS}, text: string, conf: double>>"
 RECTS = "array<struct<x0: int, y0: int, x1: int, y1: int>>"
 ERRORS = "file string, error string"
+#: Columns of the mapping table.
 MAPPING = "original_folder_name string, new_folder_name string"
-#: Columns of the audit table, in order.
+#: Columns of the audit and quality-control tables, in order.
 AUDIT = [
     "timestamp", "patient_old_id", "patient_new_id", "series_folder", "source_dir", "source_filename", "instance_number",
     "series_instance_uid", "study_instance_uid", "sop_instance_uid", "burned_in_annotation", "decision", "reason",
