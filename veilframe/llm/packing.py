@@ -6,8 +6,10 @@ ranges.  Documents go to key ranges (bounds from a bounded sample, which balance
 are sorted there, and the ranges' token totals give every document its place in one stream along the curve.  Sequences
 are stretches of that stream, so neighbours on the curve share them and only the last one is padded.
 
-Defined results: a null or empty text has the closing id alone; repeated rows are packed one by one; an empty table
-gives no pieces; rows without a doc_id are packed as the others.
+Defined results: a null or empty text has the closing id alone; repeated rows and rows that share a doc_id are packed
+one by one; an empty table gives no pieces; rows without a doc_id are packed as the others.  Ties of key, doc_id and
+length are in any order, and rows that are equal in doc_id and text lie in one range.  A very long text is encoded as a whole and cut over
+as many sequences as it takes.  Other columns, also with clashing names, don't enter.
 """
 
 from __future__ import annotations
@@ -120,14 +122,16 @@ def tokenized(docs: DataFrame, vocab_path: str, params: PackParams, bounds: np.n
 
 
 def range_bounds(docs: DataFrame, vocab_path: str, params: PackParams) -> tuple[int, np.ndarray]:
-    """(ranges, bounds) with about equal tokens in a range, from a bounded sample of documents picked by hash."""
+    """(ranges, bounds) with about equal tokens in a range, from a bounded random sample of rows.
+
+    Bounds only balance the ranges: the order of all documents is the same with any."""
     spark = docs.sparkSession
     rows = docs.count()
     if not rows:
         return 1, np.zeros(0, np.int64)
 
     def sample(most: int) -> tuple[np.ndarray, np.ndarray]:
-        part = docs if rows <= most else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < most / rows * (1 << 30))
+        part = docs if rows <= most else docs.filter(F.rand(5) < most / rows).limit(2 * most)
         got = tokenized(part, vocab_path, params).select("key", "n").toArrow()
         return got.column("key").to_numpy(), got.column("n").to_numpy()
 
