@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm import langid
@@ -77,3 +78,8 @@ def test_by_brute_force(small):
         best = max(sorted(logs), key=logs.get)
         score = 1 / sum(math.exp((x - logs[best]) / len(g) * min(len(g), p.sharpness)) for x in logs.values())
         assert r.lang_pred == best and abs(r.score - score) < 1e-4
+
+
+def test_too_many_labels_are_an_error(small):
+    with pytest.raises(ValueError):
+        langid.identify(small, langid.LangIdParams(max_classes=3))

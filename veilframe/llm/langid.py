@@ -6,7 +6,10 @@ Scoring turns a slice of texts into one array of code points, hashes all n-grams
 sparse incidence with ``reduceat``.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without any labelled training row every
-document is ``und``; ties go to the language that sorts first.  Rows keep their number, repeated rows included.
+document is ``und``; ties go to the language that sorts first; null labels teach nothing.  Rows keep their number, repeated rows and rows that
+share a doc_id included.  Texts are scored whole, a very long one as a slice of its own (some 45 times its bytes of memory).  ``identify`` reads no
+other columns, ``predict`` replaces those of the names it makes, ``filter_known`` returns all with their values.  An
+empty table gives an empty result.  More than ``max_classes`` labels, for which the matrix has no room, are an error.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ BITS = 15
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """Training is bounded: about ``sample_per_class`` documents of each of the ``max_classes`` commonest languages."""
+    """Training is bounded: about ``sample_per_class`` documents of each language.  ``max_classes`` of them take 128 MB."""
 
     sample_per_class: int = 1500
-    max_classes: int = 256
+    max_classes: int = 1024
     smoothing: float = 0.5
     sharpness: float = 30.0
 
@@ -76,11 +79,13 @@ def split_nul(text: pa.Array) -> pa.Array:
 def train(docs: DataFrame, label: str = "lang", params: LangIdParams = LangIdParams()) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [languages, 2 ** BITS]) from all rows of ``docs`` with a label and a text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label")).filter("label IS NOT NULL AND text IS NOT NULL")
-    classes = sorted((r[0], r[1]) for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.max_classes).collect())
+    classes = sorted((r[0], r[1]) for r in rows.groupBy("label").count().limit(params.max_classes + 1).collect())
+    if len(classes) > params.max_classes:
+        raise ValueError(f"more than {params.max_classes} labels: {label} doesn't look like a language")
     if not classes:
         return [], np.zeros((0, 1 << BITS))
     share = F.create_map(*[F.lit(x) for name, n in classes for x in (name, min(1.0, params.sample_per_class / n))])
-    picked = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.element_at(share, F.col("label")) * float(1 << 30)
+    picked = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < F.element_at(share, F.col("label")) * float(1 << 30)
     names = [name for name, _ in classes]
     place = {name: i for i, name in enumerate(names)}
 
