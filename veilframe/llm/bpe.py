@@ -5,7 +5,9 @@ pre-tokens of the slice are merged together: their symbols lie in one flat array
 from a binary search over the sorted pair keys, and each round merges every word's pair of lowest rank.
 
 Null texts are empty; an empty text has no ids.  The special tokens' strings, where a text holds them, give their
-ids, as the tokenizers library has it.  The operators keep one row per input row, repeated rows included.
+ids, as the tokenizers library has it.  The operators keep one row per input row, repeated rows, rows that share a
+doc_id and rows without one included.  Ties don't occur: of a word's pairs of one rank the leftmost is merged first.  A very long text is a
+slice of its own (some 20 times its bytes of memory).  Other columns, also with clashing names, don't enter.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ Exact copies of a shingle set are one class before the join.  Shingles are 64-bi
 Defined results: a null or empty text, or one without words, has no shingles and is a component by itself; fewer words
 than the shingle length make one shingle; repeated rows and equal texts are one class; the component of a class is
 the smallest doc_id that its links reach, null where all of them are.  Rows that share a doc_id are linked by their own texts alone.
-Ties in the order of shingles or pivots change no result.  A text is cut into shingles as a whole, some 40 times its bytes of memory.  Other
+Ties in the order of shingles or pivots change no result.  A text is cut into shingles as a whole, some 15 times its bytes of memory.  Other
 columns, also with clashing names, don't enter; ``one_of_each`` returns them with their values.  An empty table gives an empty result.
 """
 

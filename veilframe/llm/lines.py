@@ -13,7 +13,7 @@ Offsets are code points of the original text and come with the place of the kept
 
 Defined results: null and empty texts stay as they are; a text that loses all its words becomes empty; rows with equal
 doc_id and text have equal results, of rows that share a doc_id alone each has its own repeats; rows without a doc_id stay as they
-are and keep nothing from others.  A text is cut as a whole, however long it is (some 40 times its bytes of memory).  Columns of ``docs`` named
+are and keep nothing from others.  A text is cut as a whole, however long it is (some 35 times its bytes of memory).  Columns of ``docs`` named
 ``removed`` or ``n_removed`` give way to those of ``dedup``; ``deduplicated`` returns all columns with their values.
 An empty table gives an empty result.
 """

@@ -6,7 +6,9 @@ are columns of an earlier select, which Catalyst doesn't inline since each is us
 
 Defined results: a null text has no words and fails the base rules; a document whose language is null or has fewer
 than ``min_reference`` usable documents, or with fewer than ``min_words`` words, is held to the base rules alone.
-Repeated rows are judged each by itself.
+A language without a list of frequent words below has a word distance of 0: there only the character classes tell.
+Repeated rows and rows that share a doc_id are judged each by itself.  Distances equal to their limit are kept.  Texts are judged whole, in
+a row's memory.  ``judge`` reads no other columns, ``accepted`` returns all with their values.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

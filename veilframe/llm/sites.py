@@ -15,7 +15,7 @@ With ``hold_out``, documents whose crc32(doc_id as text) is divisible by 5 teach
 Defined results: a null text is empty; null hosts and paths are a site of their own; a site without labels has its
 parent's mean; without any label all means are one half and evidence is zero; contradictory or repeated labels of a
 document count as their mean; a label that is null doesn't count.  Rows keep their number, those that share a doc_id share its labels.
-Other columns, also with clashing names, don't enter.  Very long texts are one slice each (some 40 times their bytes of memory).  A posterior
+Other columns, also with clashing names, don't enter.  Very long texts are one slice each (some 35 times their bytes of memory).  A posterior
 equal to ``threshold`` is kept.  An empty table gives an empty result.
 """
 
