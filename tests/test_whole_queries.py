@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from veilframe.plans import catalog
+from veilframe.plans import catalog, raster_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,83 @@ def test_whole_texts(spark, tmp_path):
     for r in rows:
         s = r.text and r.text + chr(97 + r.doc_id % 26) * (r.doc_id % 14)
         assert runs[r.doc_id] == any(len(set(g)) == 1 and g[0] != "\n" for g in (s[i : i + 10] for i in range(len(s or "") - 9)))
+
+
+def opened(a, k):
+    """Grey opening by a k x k square, by loops; what lies outside doesn't count."""
+    before, after = k // 2, k - 1 - k // 2
+
+    def window(a, pick):
+        rows = [[pick(a[y, max(0, x - before) : x + after + 1]) for x in range(a.shape[1])] for y in range(a.shape[0])]
+        rows = np.array(rows)
+        return np.array([[pick(rows[max(0, y - before) : y + after + 1, x]) for x in range(a.shape[1])] for y in range(a.shape[0])])
+
+    return window(window(a, np.min), np.max)
+
+
+def threshold(gray):
+    """The first level of greatest variance between classes."""
+    best, at = 0.0, 0
+    for t in range(256):
+        low, high = gray[gray <= t], gray[gray > t]
+        if len(low) and len(high):
+            v = len(low) * len(high) * (low.mean() - high.mean()) ** 2 / gray.size**2
+            if v > best * (1 + 1e-9):
+                best, at = v, t
+    return at
+
+
+def boxes_of(mask, policy):
+    left, out = {(int(r), int(c)) for r, c in zip(*np.nonzero(mask), strict=True)}, []
+    while left:
+        todo, own = [left.pop()], []
+        while todo:
+            r, c = todo.pop()
+            own.append((r, c))
+            near = {(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        ys, xs = [r for r, _ in own], [c for _, c in own]
+        h, w = max(ys) - min(ys) + 1, max(xs) - min(xs) + 1
+        if policy.char_height[0] <= h <= policy.char_height[1] and policy.char_width[0] <= w <= policy.char_width[1] and len(own) >= policy.char_area:
+            out.append((min(xs), min(ys), w, h))
+    return out
+
+
+def lines_of(boxes, policy):
+    """Number of lines: rows by running means of centres, cut at gaps."""
+    rows = []
+    for x, y, w, h in sorted(boxes, key=lambda b: (b[1], b[0])):
+        fit = [r for r in rows if abs(y + h / 2 - sum(r["centres"]) / len(r["centres"])) <= policy.gap_y + max(r["heights"]) / 2]
+        row = fit[0] if fit else {"centres": [], "heights": [], "spans": []}
+        if not fit:
+            rows.append(row)
+        row["centres"].append(y + h / 2)
+        row["heights"].append(h)
+        row["spans"].append((x, x + w))
+    n = 0
+    for row in rows:
+        runs, end = [0], None
+        for x, z in sorted(row["spans"]):
+            runs = [*runs, 0] if end is not None and x - end > policy.gap_x else runs
+            runs[-1] += 1
+            end = z
+        n += sum(k >= policy.line_chars for k in runs)
+    return n
+
+
+def test_text_components_by_loops(spark, tmp_path):
+    """Every stage of the query anew, on the first images."""
+    policy = raster_queries.POLICY
+    real = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(12)
+    real.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for r in real.collect():
+        a = np.trunc(np.array(r.embedding, np.float64) * 2500).reshape(8, 8).astype(np.float32)
+        gray = ((a - a.min()) / (a.max() - a.min() if a.max() > a.min() else 1) * 255).clip(0, 255).astype(np.uint8)
+        gray = gray.repeat(8, 0).repeat(8, 1).astype(int)
+        hat = gray - opened(gray, policy.tophat)
+        boxes = boxes_of(hat > threshold(hat), policy) if hat.max() >= 1 else []
+        want[r.vec_id] = (len(boxes), lines_of(boxes, policy))
+    got = {r.vec_id: (r.n_boxes, r.n_lines) for r in catalog.QUERIES["text_components"](spark, str(tmp_path)).collect()}
+    assert got == want and any(b for b, _ in want.values())

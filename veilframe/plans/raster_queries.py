@@ -114,7 +114,19 @@ def geodesic_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_image(spark, sf_dir, work, "area long").filter("area > 0")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE px AS (SELECT vec_id, i, i // 8 AS r, i % 8 AS c, hu[i + 1] AS v FROM (SELECT vec_id, hu, unnest(range(64)) AS i FROM ({HU}))),
+air AS (SELECT * FROM px WHERE v <= {POLICY.air}),
+reach AS (SELECT vec_id, i, r, c, i AS root FROM air
+  UNION SELECT p.vec_id, p.i, p.r, p.c, reach.root FROM reach JOIN air p ON p.vec_id = reach.vec_id AND abs(p.r - reach.r) <= 1 AND abs(p.c - reach.c) <= 1),
+lab AS (SELECT vec_id, i, r, c, min(root) AS root FROM reach GROUP BY ALL),
+top AS (SELECT vec_id, root FROM (SELECT vec_id, root, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, root) AS place FROM lab GROUP BY vec_id, root) WHERE place = 1),
+grow AS (SELECT vec_id, r, c, 0 AS step FROM lab JOIN top USING (vec_id, root)
+  UNION SELECT p.vec_id, p.r, p.c, grow.step + 1 FROM grow JOIN px p ON p.vec_id = grow.vec_id AND abs(p.r - grow.r) + abs(p.c - grow.c) = 1 WHERE p.v < {POLICY.bone} AND grow.step < 3),
+mask AS (SELECT DISTINCT vec_id, r, c FROM grow)
+SELECT vec_id, count(mask.r) AS n_masked, count(*) FILTER (mask.r IS NOT NULL AND v <> {POLICY.air_value}) AS n_changed, sum(CASE WHEN mask.r IS NULL THEN v ELSE {POLICY.air_value} END)::BIGINT AS total
+FROM px LEFT JOIN mask USING (vec_id, r, c) GROUP BY 1
+""")
 def surface_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface removal of every image: pixels overwritten and a checksum of the result."""
 
