@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.batches import pieces
 from veilframe.config import Policy
 from veilframe.functions import geometry, text
 from veilframe.operators import kernels
@@ -113,7 +114,7 @@ def examined(slices: DataFrame, factory: Callable[[], Engine], policy: Policy) -
     kind = pa.list_(pa.struct([("points", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("text", pa.string()), ("conf", pa.float64())]))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "gray"):
             rows = b.to_pylist()
             images = [np.frombuffer(r["gray"], np.uint8).reshape(r["rows"], r["cols"]) if r["gray"] is not None else None for r in rows]
             count = [None if i is None else len(kernels.character_boxes(i, policy)) for i in images]

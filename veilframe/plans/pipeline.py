@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.batches import bounded, pieces
 from veilframe.config import TEST_KEY, Policy
 from veilframe.functions import cohort, geometry, raster, text
 from veilframe.operators import detect, elements, kernels, ordering, qc, reports
@@ -49,7 +50,7 @@ def rasters(rows: DataFrame, policy: Policy) -> DataFrame:
     """instance_id, hu binary (int16), gray binary of accepted files, or an error."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "pixels"):
             hu, gray, bad = [], [], []
             for r in b.to_pylist():
                 try:
@@ -75,7 +76,7 @@ def masked(slices: DataFrame, policy: Policy) -> DataFrame:
     """instance_id, pixels: surface removed, rectangles filled, back to stored values."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "hu"):
             out = []
             for r in b.to_pylist():
                 hu = np.frombuffer(r["hu"], np.int16).reshape(r["rows"], r["cols"])
@@ -113,6 +114,7 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
         df.write.mode("overwrite").parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
+    bounded(spark)
     found = dicom.files(spark, input_root)
     heads = kept(dicom.parsed(mapping.pseudonymised(found, mapping_table).drop("new_id"), with_pixels=False), "headers")
     accepted = cohort_of(heads, policy)
@@ -124,8 +126,8 @@ def run(spark: SparkSession, policy: Policy, input_root: str, mapping_table: Dat
     pixel_values = F.element_at(F.create_map(*[F.lit(x) for kv in written_pixels() for x in kv]), F.col("tag"))
     rewritten = rewritten.withColumn("value", F.when((F.col("depth") == 0) & (F.col("scope") == "dataset") & pixel_values.isNotNull(), F.array(pixel_values)).otherwise(F.col("value")))
     rewritten = kept(rewritten, "elements")
-    # rasters: parsed again, with pixels, for accepted files alone
-    chosen = found.join(accepted.select("instance_id"), "instance_id", "left_semi")
+    # rasters: the predicate is row-local, so contents of accepted files go from the scan to the decoder without a shuffle
+    chosen = cohort_of(dicom.parsed(mapping.pseudonymised(found, mapping_table).drop("new_id"), with_pixels=False, with_content=True), policy)
     shots = rasters(dicom.parsed(chosen), policy)
     facts = accepted.select(
         "instance_id", "patient", "patient_old", "new_id", "rel_dir", "filename", "instance_number", "position", "rows", "cols", "slope", "intercept",

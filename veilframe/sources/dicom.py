@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.batches import pieces
+
 
 IMPLICIT, EXPLICIT, BIG, DEFLATED, RLE = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.5"
 LONG_FORM = {b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UN", b"UR", b"UT", b"UV"}
@@ -234,22 +236,24 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return d.select("path", "content", F.get(parts, F.lit(0)).alias("patient_old"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "/").alias("rel_dir"), F.element_at(parts, -1).alias("filename"), F.col("rel").alias("instance_id"))
 
 
-def parsed(found: DataFrame, with_pixels: bool = True) -> DataFrame:
-    """One row for each file, PARSED; without pixels the parser doesn't keep them."""
+def parsed(found: DataFrame, with_pixels: bool = True, with_content: bool = False) -> DataFrame:
+    """One row for each file, PARSED; without pixels the parser doesn't keep them.  With its content, it can be parsed again."""
     names = ["scope", "depth", "item_path", "ancestor_tags", "ancestor_items", "grp", "tag", "vr", "value"]
 
     def run(batches):
         import pyarrow as pa  # noqa: F811
 
-        for b in batches:
+        for b in pieces(batches, "content"):
             rows = []
             for r in b.to_pylist():
                 p = parse(r["content"] or b"", with_pixels)
                 elements = [dict(zip(names, e, strict=True)) | {"elem": int(e[6][4:], 16)} for e in p["elements"]]
                 rows.append({k: r[k] for k in ("instance_id", "patient_old", "rel_dir", "filename")} | {"preamble": p["preamble"], "transfer_syntax": p["syntax"], **{k: p[k] for k in ("rows", "cols", "slope", "intercept", "photometric", "spacing_row", "iop", "bits", "signed", "pixels", "error")}, "elements": elements})
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+            out = pa.RecordBatch.from_pylist(rows, schema=ARROW)
+            yield pa.RecordBatch.from_arrays([*out.columns, b.column("content")], [*ARROW.names, "content"]) if with_content else out
 
-    return found.select("content", "instance_id", "patient_old", "rel_dir", "filename").mapInArrow(run, PARSED)
+    d = found.select("content", "instance_id", "patient_old", "rel_dir", "filename")
+    return d.mapInArrow(run, PARSED + ", content binary" * with_content)
 
 
 TEXTS = pa.list_(pa.string())
