@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.common import free_name, mix64, only, ranges, slices, staged, string_hashes, texts, word_codes
+from veilframe.llm.common import MADE, drop_staged, free_name, mix64, only, ranges, slices, staged, string_hashes, texts, word_codes
 
 
 @dataclass(frozen=True)
@@ -274,10 +274,12 @@ def representatives(rows: DataFrame, reps: DataFrame, params: JoinParams) -> Dat
 
 def classes_of(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """own, text_key, cls, n, comp, least of each row: its class, that class's component and the component's smallest doc_id."""
+    before = len(MADE)
     d, hashed, repeated = noded(docs)
     rows, reps, comps = linked(d, repeated, params)
     named = reps.join(comps, reps.rep == comps.id, "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
     out = rows.join(named, "cls", "left").select("own", "text_key", "cls", "n", "comp")
+    drop_staged(docs.sparkSession, MADE[before:], out)
     if not hashed:
         return out.withColumn("least", F.col("comp"))
     least = out.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("least"))
@@ -334,10 +336,15 @@ def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame
     """One row of each component of linked rows: that of its smallest (doc_id, hash of the text), null ids last; of rows
     that share both, the smallest by their other columns.  Rows without words are linked with nothing and all stay;
     all columns of ``docs`` with their values."""
+    before = len(MADE)
     d = classes_of(docs, params).filter("n > 0")
-    d = d.select(F.col("comp").alias("g"), F.struct(F.col("own").isNull().alias("last"), F.col("own").alias("doc_id"), "text_key").alias("row"))
-    d = d.groupBy("g", "row").count()
-    d = staged(d.join(d.groupBy("g").agg(F.min("row").alias("kept")), "g").select("row.doc_id", "row.text_key", "count", (F.col("row") == F.col("kept")).alias("stays")), "choice")
+    row = F.struct(F.col("own").isNull().alias("last"), F.coalesce("own", F.lit(0)).alias("doc_id"), "text_key")
+    d = d.select("comp", row.alias("row")).groupBy("comp", "row").count()
+    # dealt by row, not by component, of which one may hold a large share of all rows
+    first = d.groupBy("comp").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
+    d = d.join(first, "row", "left").select(F.expr("CASE WHEN NOT row.last THEN row.doc_id END AS doc_id"), "row.text_key", "count", F.coalesce("stays", F.lit(False)).alias("stays"))
+    d = staged(d, "choice")
+    drop_staged(docs.sparkSession, MADE[before:-1])
     doc, key = free_name(docs, "choice_doc"), free_name(docs, "choice_key")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_key(F.col("text")) == F.col(key))
     left = docs.join(d.filter("NOT stays").select("doc_id", "text_key").toDF(doc, key), same, "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import slices, staged, texts
+from veilframe.llm.common import MADE, drop_staged, slices, staged, texts
 from veilframe.llm.lines import words_of
 
 BUCKETS = 1 << 16
@@ -166,6 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, par
 
     ``labels`` has doc_id and quality (0 or 1).
     """
+    before = len(MADE)
     truth = labels.select(F.col("doc_id").cast("long").alias("label_doc"), F.col("quality").cast("double").alias("y")).filter("y IS NOT NULL AND label_doc IS NOT NULL")
     if params.hold_out:
         truth = truth.filter(~held_out(F.col("label_doc")))
@@ -181,6 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, par
     odds = F.aggregate(F.zip_with(rows, "bins", lambda row, b: F.get(row, b)), F.lit(0.0), lambda a, x: a + x)
     d = d.select("doc_id", "host", "path", (odds * params.evidence + F.col("word_odds")).alias("log_odds"))
     d = d.join(F.broadcast(sites) if sites.count() <= params.broadcast_sites else sites, ["host", "path"])
+    drop_staged(docs.sparkSession, MADE[before:], d)
     z = F.log(F.col("path_mean") / (1 - F.col("path_mean"))) + F.col("log_odds")
     d = d.withColumn("quality", 1 / (1 + F.exp(-z))).withColumn("held_out", held_out(F.col("doc_id")) & F.lit(params.hold_out))
     return d.select("doc_id", "held_out", "host_mean", "path_mean", "log_odds", "quality", (F.col("quality") >= params.threshold).alias("kept"))
