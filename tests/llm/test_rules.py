@@ -57,6 +57,21 @@ def test_divergence_rejects_junk_and_keeps_clean(spark):
     assert any(not x.kept for x in r if not labels[x.doc_id])
 
 
+def test_rare_and_missing_languages_are_compared_with_all(spark, tmp_path):
+    """By SQL and by what goes: digits and symbols among prose, without a language or in one of few documents."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    junk = " ".join(f"{i * 7919 % 1000003}=#{i}" for i in range(60))
+    prose = d.filter("lang = 'en'").orderBy("doc_id").first().text
+    rows = [(10**6 + k, t, lang) for k, (t, lang) in enumerate((t, lang) for t in (junk, prose) for lang in (None, "xx"))]
+    made = d.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    made.coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got = rules.judge(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert differences(got, str(tmp_path), QUALITY_RULES) == ""
+    r = {x.doc_id: x for x in got.collect()}
+    assert [r[10**6 + k].kept for k in range(4)] == [False, False, True, True] and all(r[10**6 + k].word_distance is None for k in range(4))
+
+
 def test_native(small):
     plan = rules.judge(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -41,10 +41,11 @@ h AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 k AS (SELECT *, list_append(cw, n_words - list_sum(cw)::BIGINT) AS common FROM h),
 ref AS (SELECT lang AS ref_lang, [{", ".join(f"sum(chars[{i}])" for i in range(1, 8))}] AS ref_chars, [{", ".join(f"sum(common[{i}])" for i in range(1, 18))}] AS ref_common
   FROM k WHERE NOT base_failed AND n_words >= {P.min_words} AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {P.min_reference}),
-j AS (SELECT k.*, CASE WHEN ref_lang IS NOT NULL AND n_words >= {P.min_words} THEN {_jsd("chars", "ref_chars")} END AS cd, CASE WHEN ref_lang IS NOT NULL AND n_words >= {P.min_words} THEN {_jsd("common", "ref_common")} END AS wd
-  FROM k LEFT JOIN ref ON lang = ref_lang)
+pool AS (SELECT [{", ".join(f"sum(chars[{i}])" for i in range(1, 8))}] AS all_chars FROM k WHERE NOT base_failed AND n_words >= {P.min_words} HAVING count(*) >= {P.min_reference}),
+j AS (SELECT k.*, CASE WHEN n_words >= {P.min_words} AND coalesce(ref_chars, all_chars) IS NOT NULL THEN {_jsd("chars", "coalesce(ref_chars, all_chars)")} END AS cd, CASE WHEN ref_lang IS NOT NULL AND n_words >= {P.min_words} THEN {_jsd("common", "ref_common")} END AS wd
+  FROM k LEFT JOIN ref ON lang = ref_lang LEFT JOIN pool ON true)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance,
-  NOT base_failed AND coalesce(cd <= {P.max_char_distance} AND wd <= {P.max_word_distance}, true) AS kept FROM j
+  NOT base_failed AND coalesce(cd <= {P.max_char_distance}, true) AND coalesce(wd <= {P.max_word_distance}, true) AS kept FROM j
 """
 
 JACCARD = f"""

@@ -5,7 +5,8 @@ pass (language references, then Jensen-Shannon distances) never reads a text aga
 are columns of an earlier select, which Catalyst doesn't inline since each is used more than once.
 
 Defined results: a null text has no words and fails the base rules; a document whose language is null or has fewer
-than ``min_reference`` usable documents, or with fewer than ``min_words`` words, is held to the base rules alone.
+than ``min_reference`` usable documents is compared by its character classes with all usable documents, where these are
+as many; one with fewer than ``min_words`` words is held to the base rules alone.
 A language without a list of frequent words below has a word distance of 0: there only the character classes tell.
 Repeated rows and rows that share a doc_id are judged each by itself.  Distances equal to their limit are kept.  Texts are judged whole, in
 a row's memory.  ``judge`` reads no other columns, ``accepted`` returns all with their values.  An empty table gives an empty result.
@@ -103,19 +104,27 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"transform(array(struct({share(p)} AS p, {share(q)} AS q)), z -> sqrt(greatest(0D, ({half('z.p', 'z.q')} + {half('z.q', 'z.p')}) / 2)))[0]")
 
 
-def references(features: DataFrame, params: RuleParams) -> DataFrame:
-    """ref_lang, ref_chars, ref_common: histograms of each language over its documents that pass the base rules."""
+def references(features: DataFrame, params: RuleParams) -> tuple[DataFrame, DataFrame]:
+    """(ref_lang, ref_chars, ref_common; all_chars): histograms over the documents that pass the base rules, of each
+    language and of all of them, the latter in one row."""
     total = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-    good = features.filter(~base_failed() & (F.col("n_words") >= params.min_words) & F.col("lang").isNotNull())
-    return good.groupBy(F.col("lang").alias("ref_lang")).agg(F.count("*").alias("n_ref"), total("chars", 7).alias("ref_chars"), total("common", 17).alias("ref_common")).filter(F.col("n_ref") >= params.min_reference).drop("n_ref")
+    good = features.filter(~base_failed() & (F.col("n_words") >= params.min_words))
+    enough = F.col("n_ref") >= params.min_reference
+    sums = good.groupBy("lang").agg(F.count("*").alias("n_ref"), total("chars", 7).alias("ref_chars"), total("common", 17).alias("ref_common"))
+    pooled = sums.agg(F.sum("n_ref").alias("n_ref"), total("ref_chars", 7).alias("all_chars")).filter(enough).drop("n_ref")
+    return sums.filter(enough & F.col("lang").isNotNull()).select(F.col("lang").alias("ref_lang"), "ref_chars", "ref_common"), pooled
 
 
 def verdicts(docs: DataFrame, params: RuleParams) -> DataFrame:
     features = staged(counts(docs), "rules")
-    d = features.join(references(features, params), F.col("lang") == F.col("ref_lang"), "left")
-    enough = (F.col("n_words") >= params.min_words) & F.col("ref_lang").isNotNull()
-    d = d.withColumn("char_distance", F.when(enough, distance("chars", "ref_chars"))).withColumn("word_distance", F.when(enough, distance("common", "ref_common")))
-    near = F.coalesce((F.col("char_distance") <= params.max_char_distance) & (F.col("word_distance") <= params.max_word_distance), F.lit(True))
+    own, pooled = references(features, params)
+    d = features.join(own, F.col("lang") == F.col("ref_lang"), "left")
+    # one row at most
+    d = d.join(F.broadcast(pooled), F.lit(True), "left").withColumn("ref_chars", F.coalesce("ref_chars", "all_chars"))
+    long = F.col("n_words") >= params.min_words
+    d = d.withColumn("char_distance", F.when(long & F.col("ref_chars").isNotNull(), distance("chars", "ref_chars")))
+    d = d.withColumn("word_distance", F.when(long & F.col("ref_lang").isNotNull(), distance("common", "ref_common")))
+    near = F.coalesce(F.col("char_distance") <= params.max_char_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= params.max_word_distance, F.lit(True))
     return d.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & near)
 
 
