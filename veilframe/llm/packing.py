@@ -122,7 +122,7 @@ def tokenized(docs: DataFrame, vocab_path: str, params: PackParams, bounds: np.n
 
 
 def range_bounds(docs: DataFrame, vocab_path: str, params: PackParams) -> tuple[int, np.ndarray]:
-    """(ranges, bounds) with about equal tokens in a range, from a bounded random sample of rows.
+    """(ranges, bounds) with about equal tokens in a range, from a random sample of about so many rows.
 
     Bounds only balance the ranges: the order of all documents is the same with any."""
     spark = docs.sparkSession
@@ -131,7 +131,7 @@ def range_bounds(docs: DataFrame, vocab_path: str, params: PackParams) -> tuple[
         return 1, np.zeros(0, np.int64)
 
     def sample(most: int) -> tuple[np.ndarray, np.ndarray]:
-        part = docs if rows <= most else docs.filter(F.rand(5) < most / rows).limit(2 * most)
+        part = docs if rows <= most else docs.filter(F.rand(5) < most / rows)
         got = tokenized(part, vocab_path, params).select("key", "n").toArrow()
         return got.column("key").to_numpy(), got.column("n").to_numpy()
 
