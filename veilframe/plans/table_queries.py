@@ -250,6 +250,23 @@ def slices_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").withColumn("number", text.instance_number(F.coalesce(v, F.lit("")), v.isNull()))
 
 
+@query(f"SELECT l_orderkey, l_linenumber, number FROM ({NUMBERED})")
+def instance_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sort keys of slices: missing, blank, padded and unreadable numbers."""
+    return slices_of(spark, sf_dir).select("l_orderkey", "l_linenumber", "number")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN TRY_CAST(trim(regexp_extract(v, '^[^\\\\,]*')) AS DOUBLE) > 0 THEN TRY_CAST(trim(regexp_extract(v, '^[^\\\\,]*')) AS DOUBLE) END AS spacing
+FROM (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN ' ' || l_partkey || '.5\\0.6' WHEN 1 THEN l_partkey || ',0.4' WHEN 2 THEN '-' || l_partkey || '\\1' ELSE 'x' END AS v FROM lineitem)
+""")
+def pixel_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First number of a pair by backslash or comma; null unless positive."""
+    k = F.col("l_partkey").cast("string")
+    v = F.element_at(F.array(F.concat(F.lit(" "), k, F.lit(".5\\0.6")), F.concat(k, F.lit(",0.4")), F.concat(F.lit("-"), k, F.lit("\\1")), F.lit("x")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.spacing(v).alias("spacing"))
+
+
 @query(f"SELECT l_orderkey, l_linenumber, number, row_number() OVER (PARTITION BY l_orderkey ORDER BY number, l_linenumber) AS position FROM ({NUMBERED})")
 def slice_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.numbered(slices_of(spark, sf_dir), ["l_orderkey"], ["number", "l_linenumber"]).select("l_orderkey", "l_linenumber", "number", "position")

@@ -37,6 +37,18 @@ def hallucination_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_contains(f, "too_long").alias("too_long"), F.array_contains(f, "repetitive").alias("repetitive"))
 
 
+@query("""
+WITH tok AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM conversations),
+cnt AS (SELECT conv_id, turn, max(n) AS most FROM (SELECT conv_id, turn, w, count(*) AS n FROM tok WHERE w <> '' GROUP BY ALL) GROUP BY ALL)
+SELECT c.conv_id, c.turn FROM conversations c LEFT JOIN cnt ON cnt.conv_id = c.conv_id AND cnt.turn = c.turn
+WHERE length(text) <= 300 AND coalesce(most < 6, true) AND NOT coalesce(list_bool_or(list_transform(list_distinct(string_split(text, '')), lambda x: x <> chr(10) AND contains(text, repeat(x, 10)))), false)
+""")
+def hallucination_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without any mark of an invented reading."""
+    marks = text.flags(F.col("text"), F.lit(False), POLICY)
+    return t(spark, sf_dir, "conversations").filter(F.col("text").isNotNull() & (F.size(marks) == 0)).select("conv_id", "turn")
+
+
 @query(f"""
 SELECT doc_id, coalesce(regexp_matches(text || repeat(chr((97 + doc_id % 26)::INTEGER), (doc_id % 14)::INTEGER), '{"|".join(f"[{c}]{{10}}" for c in (chr(97 + i) for i in range(26)))}')
   OR list_bool_or(list_transform(list_distinct(string_split(text, '')), lambda c: c <> chr(10) AND contains(text, repeat(c, 10)))), false) AS run
