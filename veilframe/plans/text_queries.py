@@ -57,7 +57,7 @@ FROM documents
 def char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of ten equal characters in whole texts, some with a run at their end."""
     k = F.col("doc_id")
-    s = F.concat("text", F.repeat(F.char((97 + k % 26).cast("int")), (k % 14).cast("int")))
+    s = F.concat("text", F.coalesce(F.repeat(F.char((97 + k % 26).cast("int")), (k % 14).cast("int")), F.lit("")))
     return t(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.char_run(s), F.lit(False)).alias("run"))
 
 
