@@ -29,15 +29,18 @@ def burned_in(flag: Column) -> Column:
 
 
 def allowed(c: Column) -> Column:
-    return F.regexp_replace(c, f"[^{ALLOWED_TEXT}]", "")
+    return F.regexp_replace(c, f"[^{ALLOWED_TEXT}]+", "")
 
 
 def alnum_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]", ""))
+    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]+", ""))
 
 
 def plausible(c: Column, policy: Policy) -> Column:
-    return alnum_count(allowed(F.coalesce(c, F.lit("")))) >= policy.min_alnum
+    """At least ``min_alnum`` letters and digits, all of them allowed; the search ends at the last one it needs."""
+    if policy.min_alnum < 1:
+        return F.lit(True)
+    return F.coalesce(c, F.lit("")).rlike("[A-Za-z0-9]" + "[^A-Za-z0-9]*+[A-Za-z0-9]" * (policy.min_alnum - 1))
 
 
 def too_long(c: Column, policy: Policy) -> Column:
