@@ -15,8 +15,10 @@ NUMBER_TYPES = ["IS", "DS", "US", "UL", "SS", "SL", "FL", "FD"]
 
 
 def uid_valid(c: Column) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
-    return (s == "") | ((F.length(s) <= 64) & s.rlike(UID))
+    """Blank or a UID; white space at the ends is only cut where the text as it stands is none."""
+    c = F.coalesce(c, F.lit(""))
+    s = strip(c)
+    return ((F.length(c) <= 64) & c.rlike(UID)) | (s == "") | ((F.length(s) <= 64) & s.rlike(UID))
 
 
 def remapped(c: Column, scope: Column | None, policy: Policy) -> Column:

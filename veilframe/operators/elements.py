@@ -23,19 +23,18 @@ def group_of(tag: Column) -> Column:
     return F.conv(F.substring(tag, 1, 4), 16, 10).cast("int")
 
 
-def self_or_ancestor(test) -> Column:
-    """``test(tag)`` holds for the row's tag or for a sequence that encloses it."""
-    return test(F.col("tag")) | F.exists("ancestor_tags", test)
+def deletions(policy: Policy, root: bool = False) -> list[tuple[str, Column]]:
+    """(action, condition on the row itself or its ancestors) in the order in which they win; ``root``: for rows without ancestors."""
 
+    def self_or_ancestor(test) -> Column:
+        return test(F.col("tag")) if root else test(F.col("tag")) | F.exists("ancestor_tags", test)
 
-def deletions(policy: Policy) -> list[tuple[str, Column]]:
-    """(action, condition on the row itself or its ancestors) in the order in which they win."""
     sq = F.col("vr") == "SQ"
     extra = [*EXTRA_TAGS, *[ETHNIC_GROUP] * policy.remove_ethnic_group]
     anc = F.col("ancestor_tags")
-    within = lambda table: F.exists(anc, lambda t: t.isin(*table))
+    within = lambda table: F.lit(False) if root else F.exists(anc, lambda t: t.isin(*table))
     shallow = F.col("depth") <= policy.max_depth
-    near = lambda table: (F.col("tag").isin(*table) & shallow) | F.exists(F.slice(anc, 1, policy.max_depth + 1), lambda t: t.isin(*table))
+    near = lambda table: F.col("tag").isin(*table) & shallow if root else (F.col("tag").isin(*table) & shallow) | F.exists(F.slice(anc, 1, policy.max_depth + 1), lambda t: t.isin(*table))
     overlay = self_or_ancestor(lambda t: cohort.is_overlay(group_of(t))) if policy.hardened else F.when(F.col("depth") == 0, cohort.is_overlay(F.col("grp"))).otherwise(cohort.is_overlay(group_of(F.get(anc, 0))))
     out = [
         ("private", self_or_ancestor(lambda t: cohort.is_private(group_of(t)))),
@@ -66,6 +65,11 @@ def labelled(elements: DataFrame, policy: Policy) -> DataFrame:
     action = F.lit(None).cast("string")
     for name, test in reversed(rules):
         action = F.when(test, name).otherwise(action)
+    # most rows are at the root: no tests on ancestors there
+    at_root = F.lit(None).cast("string")
+    for name, test in reversed(deletions(policy, root=True)):
+        at_root = F.when(test, name).otherwise(at_root)
+    action = F.when(F.size("ancestor_tags") == 0, at_root).otherwise(action)
     inside = [*DUMMY_TAGS, *EXTRA_TAGS, *ORDER_ENTRY_TAGS, ICON_SEQUENCE, *DESCRIPTOR_TAGS, *HARDENED_SEQUENCES * policy.hardened]
     own = F.exists("ancestor_tags", lambda t: t.isin(*inside))
     private_parent = F.exists("ancestor_tags", lambda t: cohort.is_private(group_of(t)) | cohort.is_curve(group_of(t)) | cohort.is_overlay(group_of(t)))
@@ -126,12 +130,21 @@ def declarations(policy: Policy) -> list[tuple]:
     return [*rows, ("00280303", "CS", 0, [], [], one("REMOVED" if policy.replace_dates else "UNMODIFIED"), always)]
 
 
-def without_dangling(elements: DataFrame, policy: Policy) -> DataFrame:
-    """Without items whose reference is blank, and without sequences that lost their last item that way."""
+def by_instance(facts: DataFrame) -> DataFrame:
+    """``facts`` (few small rows an instance) as the side that a join keeps at hand, so that elements aren't sorted for it."""
+    return facts.hint("shuffle_hash")
+
+
+def dangling(elements: DataFrame, policy: Policy) -> DataFrame:
+    """instance_id, gone: the items whose reference is blank."""
     blank = F.col("tag").isin(*TYPE1_REFERENCES) & (strip(F.coalesce(F.array_join("value", ""), F.lit(""))) == "")
     deep = (F.size("ancestor_items") >= 1) & (F.size("ancestor_items") <= policy.max_depth + 1) & (F.col("scope") == "dataset")
-    gone = elements.filter(blank & deep).groupBy("instance_id").agg(F.collect_set("item_path").alias("gone"))
-    d = elements.join(gone, "instance_id", "left").filter(~F.coalesce(F.arrays_overlap("ancestor_items", "gone"), F.lit(False)))
+    return elements.filter(blank & deep).groupBy("instance_id").agg(F.collect_set("item_path").alias("gone"))
+
+
+def without_dangling(elements: DataFrame, policy: Policy) -> DataFrame:
+    """Without items whose reference is blank, and without sequences that lost their last item that way."""
+    d = elements.join(by_instance(dangling(elements, policy)), "instance_id", "left").filter(~F.coalesce(F.arrays_overlap("ancestor_items", "gone"), F.lit(False)))
     mine = F.concat("item_path", F.lit("/"), "tag", F.lit("["))
     lost = F.size(F.filter("gone", lambda g: g.startswith(mine)))
     left = F.get("value", F.lit(0)).try_cast("int") - F.coalesce(lost, F.lit(0))
@@ -140,36 +153,37 @@ def without_dangling(elements: DataFrame, policy: Policy) -> DataFrame:
     return d.filter(F.col("items_left").isNull() | (F.col("items_left") > 0)).withColumn("value", F.when(F.col("items_left").isNotNull(), F.array(F.col("items_left").cast("string"))).otherwise(F.col("value"))).drop("gone", "items_left")
 
 
-def rewrite(elements: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
+def rewrite(elements: DataFrame, policy: Policy, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rewritten elements, labelled rows of the first pass for counts).
 
     ``elements`` has patient (scope of UID replacement) and new_id beside its own columns.  Rows are dealt by
-    instance once; every later join and group is on the same key.
+    instance once, or come so (``dealt``); what is known of an instance is brought to them by joins on that key.
     """
     columns = [*elements.columns]
-    elements = elements.repartition("instance_id")
+    if not dealt:
+        elements = elements.repartition("instance_id")
     marked = labelled(elements, policy)
     facts = person_facts(elements, policy)
-    instances = elements.groupBy("instance_id", "patient", "new_id").agg(F.max((F.col("scope") == "file_meta").cast("int")).alias("has_meta")).join(facts.drop("capped"), "instance_id", "left")
+    instances = elements.select("instance_id", "patient", "new_id").distinct().join(by_instance(facts.drop("capped")), "instance_id", "left")
     replaced = ["00100020", "00100010", "00080050", "00120062", "00120063", "00120064", "00280303"]
     kept = marked.filter(F.col("action").isNull()).select(*columns)
     kept = kept.filter(~(is_root() & F.col("tag").isin(*replaced)) & ~(F.coalesce(F.get("ancestor_tags", F.lit(0)) == "00120064", F.lit(False))))
+    known = facts.select("instance_id", F.col("age").isNotNull().alias("aged"), "sop", "sop_class")
     if policy.drop_dangling:
         kept = without_dangling(kept, policy)
+    kept = kept.join(by_instance(known), "instance_id", "left")
     one, always = F.array, F.lit(True)
     rows = [("00100020", "LO", 0, [], [], one("new_id"), always), ("00100010", "PN", 0, [], [], one(F.lit(PERSON_DUMMY)), always), ("00080050", "SH", 0, [], [], one("new_id"), always), *declarations(policy)]
     if policy.keep_age:
-        has = facts.filter("age IS NOT NULL").select("instance_id")
         old = is_root() & (F.col("tag") == "00101010")
         # a blank age without a computed one stays
-        kept = kept.join(has.withColumn("aged", F.lit(True)), "instance_id", "left").filter(~(old & F.coalesce("aged", F.lit(False)))).drop("aged")
+        kept = kept.filter(~(old & F.coalesce("aged", F.lit(False))))
         rows.append(("00101010", "AS", 0, [], [], one("age"), F.col("age").isNotNull()))
     made = literal_rows(instances, rows)
     if policy.sync_file_meta:
         meta = (F.col("scope") == "file_meta") & F.col("tag").isin("00020002", "00020003")
-        kept = kept.join(facts.select("instance_id", "sop", "sop_class"), "instance_id", "left")
         wanted = F.when(F.col("tag") == "00020003", F.col("sop")).otherwise(F.col("sop_class"))
-        kept = kept.withColumn("value", F.when(meta & (F.coalesce(wanted, F.lit("")) != ""), F.array(wanted)).otherwise(F.col("value"))).drop("sop", "sop_class")
+        kept = kept.withColumn("value", F.when(meta & (F.coalesce(wanted, F.lit("")) != ""), F.array(wanted)).otherwise(F.col("value")))
     return kept.select(*columns).unionByName(made.select(*columns)), marked
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.config import Policy
 from veilframe.functions import cohort, identity
 from veilframe.operators import elements, qc
-from veilframe.plans.registry import query, sql_uid, t
+from veilframe.plans.registry import dealt, query, sql_uid, t
 from veilframe.rules import ABSENT_TAGS, policy_rules
 
 POLICY = Policy(uid_key="k")
@@ -62,20 +62,28 @@ HEADER = [
 META = [("00020002", "UI", "'1.2.840.10008.5.1.4.1.1.2'"), ("00020003", "UI", "'1.9.' || k"), ("00020010", "UI", "'1.2.840.10008.1.2.1'"), ("00020012", "UI", "'1.02.' || k"), ("00020016", "AE", "'SITE'")]
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, n of all customers, dealt by k before they explode into elements: few bytes, much work."""
+    return dealt(t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_name").alias("n")), "k", piece=1 << 20)
+
+
 def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element rows of all customers; every tenth has no PatientID."""
+    """Element rows of all customers, dealt by instance; every tenth has no PatientID."""
     def row(scope: str, tag: str, vr: str, path: str, value: str) -> str:
         steps = path.split("/")[1:]
         tags = ", ".join(f"'{s.partition('[')[0]}'" for s in steps)
         items = ", ".join(f"'/{'/'.join(steps[: i + 1])}'" for i in range(len(steps)))
         arr = lambda s: f"cast(array({s}) AS array<string>)"
-        return f"named_struct('scope', '{scope}', 'depth', {len(steps)}, 'item_path', '{path}', 'ancestor_tags', {arr(tags)}, 'ancestor_items', {arr(items)}, 'tag', '{tag}', 'vr', '{vr}', 'value', array({value}))"
+        text, _, column = value.rpartition(" || ") if value[-1] in "kn" else (value, "", "")
+        return f"named_struct('scope', '{scope}', 'depth', {len(steps)}, 'item_path', '{path}', 'ancestor_tags', {arr(tags)}, 'ancestor_items', {arr(items)}, 'tag', '{tag}', 'vr', '{vr}', 'text', {text or repr('')}, 'column', '{column}', 'grp', {int(tag[:4], 16)}, 'elem', {int(tag[4:], 16)})"
 
     rows = [row("dataset", tag, vr, path, v) for tag, vr, path, v in HEADER] + [row("file_meta", tag, vr, "", v) for tag, vr, v in META]
-    d = t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_name").alias("n"))
-    d = d.select(F.col("k").alias("instance_id"), F.col("k").alias("patient"), F.concat(F.lit("P"), "k").alias("new_id"), F.explode(F.expr(f"array({', '.join(rows)})")).alias("e"))
-    d = d.select("instance_id", "patient", "new_id", "e.*").filter("NOT (tag = '00100020' AND depth = 0 AND instance_id % 10 = 0)")
-    return d.withColumn("grp", elements.group_of(F.col("tag"))).withColumn("elem", F.conv(F.substring("tag", 5, 4), 16, 10).cast("int"))
+    # the array is a constant, made once and not for every customer; its texts are completed after the explosion
+    d = people(spark, sf_dir).select("k", "n", F.explode(F.expr(f"array({', '.join(rows)})")).alias("e"))
+    value = F.array(F.when(F.col("e.column") == "k", F.concat("e.text", "k")).when(F.col("e.column") == "n", F.concat("e.text", "n")).otherwise(F.col("e.text")))
+    fields = [F.col(f"e.{c}") for c in ("scope", "depth", "item_path", "ancestor_tags", "ancestor_items", "tag", "vr")]
+    d = d.select(F.col("k").alias("instance_id"), F.col("k").alias("patient"), F.concat(F.lit("P"), "k").alias("new_id"), *fields, value.alias("value"), F.col("e.grp"), F.col("e.elem"))
+    return d.filter("NOT (tag = '00100020' AND depth = 0 AND instance_id % 10 = 0)")
 
 
 def uid(text: str) -> str:
@@ -131,7 +139,7 @@ HEADER_SQL = " UNION ALL ".join(f"SELECT k, n, '{tag}' AS tag, '{vr}' AS vr, '{p
 @query(" UNION ALL ".join(f"SELECT k AS instance_id, '{s}' AS scope, '{p}' AS item_path, '{tag}' AS tag, '{vr}' AS vr, {v} AS value FROM {WHO}" for s, p, tag, vr, v in EXPECTED))
 def element_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on whole headers: what is left, tag by tag."""
-    out, _ = elements.rewrite(header_rows(spark, sf_dir), POLICY)
+    out, _ = elements.rewrite(header_rows(spark, sf_dir), POLICY, dealt=True)
     return out.select("instance_id", "scope", "item_path", "tag", "vr", F.array_join("value", "\\").alias("value"))
 
 
@@ -141,14 +149,14 @@ COUNTS = {"private": 1, "curve": 1, "overlay": 1, "extra_identifier": 2, "order_
 @query(" UNION ALL ".join(f"SELECT '{a}' AS action, {n} * count(*) AS n FROM customer" for a, n in COUNTS.items() if n))
 def action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each action was taken."""
-    _, marked = elements.rewrite(header_rows(spark, sf_dir), POLICY)
+    _, marked = elements.rewrite(header_rows(spark, sf_dir), POLICY, dealt=True)
     return elements.action_counts(marked).groupBy("action").agg(F.sum("count").alias("n"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS patient, 5::BIGINT AS changes, ['AcquisitionDateTime', 'Date', 'DateOfSecondaryCapture', 'SeriesTime', 'StudyDate'] AS names FROM customer")
 def changed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates that the sweep changed after the listed ones, with their names."""
-    _, marked = elements.rewrite(header_rows(spark, sf_dir), POLICY)
+    _, marked = elements.rewrite(header_rows(spark, sf_dir), POLICY, dealt=True)
     return elements.changed_dates(marked).select("patient", "changes", "names")
 
 
@@ -204,9 +212,9 @@ RAW = [
 def found(spark: SparkSession, sf_dir: str, rewritten: bool) -> DataFrame:
     rows = header_rows(spark, sf_dir)
     if rewritten:
-        rows, _ = elements.rewrite(rows, POLICY)
+        rows, _ = elements.rewrite(rows, POLICY, dealt=True)
     preamble = F.lit(b"\x00" * 128) if rewritten else F.lit(b"II*" + b"\x00" * 125)
-    instances = t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("instance_id"), preamble.alias("preamble"))
+    instances = people(spark, sf_dir).select(F.col("k").alias("instance_id"), preamble.alias("preamble"))
     return qc.findings(rows, instances, qc.produced_instances(rows), POLICY)
 
 
@@ -233,7 +241,7 @@ UNION ALL SELECT CAST(c_custkey AS VARCHAR), tag, 'P' || c_custkey FROM customer
 """)
 def upsert_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers and declarations are there once, whether the header had them or not."""
-    out, _ = elements.rewrite(header_rows(spark, sf_dir), POLICY)
+    out, _ = elements.rewrite(header_rows(spark, sf_dir), POLICY, dealt=True)
     wanted = ["00080050", "00100010", "00100020", "00120062", "00120063", "00120064", "00280303"]
     return out.filter((F.col("depth") == 0) & F.col("tag").isin(*wanted)).select("instance_id", "tag", F.get("value", F.lit(0)).alias("value"))
 
