@@ -27,19 +27,20 @@ def folder_ranks(folders: DataFrame, parent: list[str], name: str) -> DataFrame:
     return folders.withColumn("place", F.dense_rank().over(Window.partitionBy(*parent).orderBy(name)))
 
 
-def renamed_folders(dirs: DataFrame) -> DataFrame:
+def renamed_folders(dirs: DataFrame, dealt: bool = False) -> DataFrame:
     """new_id, patient_old, rel_dir, new_dir: on every level, a name becomes new_id and its place in the original parent folder.
 
     ``dirs`` has new_id, patient_old, rel_dir.  All prefixes of the paths are ranked at once, however deep they are.
+    Folders are dealt by patient once, or come so (``dealt``): ranks and groups on longer keys are made where they lie.
     """
     keys = ["new_id", "patient_old", "rel_dir"]
-    d = dirs.select(*keys).distinct()
-    parts = F.when(F.col("rel_dir") != "", F.split("rel_dir", "/"))
-    steps = d.withColumn("parts", parts).select(*keys, "parts", F.posexplode("parts").alias("level", "name"))
+    d = dirs.select(*keys)
+    d = (d if dealt else d.repartition("patient_old")).distinct()
+    parts = F.when((F.col("rel_dir") != "") & F.col("patient_old").isNotNull(), F.split("rel_dir", "/"))
+    steps = d.withColumn("parts", parts).select(*keys, "parts", F.posexplode_outer("parts").alias("level", "name"))
     steps = steps.select(*keys, "level", F.array_join(F.slice("parts", 1, F.col("level")), "/").alias("parent"), "name")
-    place = ["patient_old", "level", "parent", "name"]
-    ranked = folder_ranks(steps.select(*place).distinct(), ["patient_old", "level", "parent"], "name")
-    made = F.concat("new_id", F.lit("_"), F.col("place").cast("string"))
-    new = steps.join(ranked, place).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("level", made.alias("made")))).alias("steps"))
-    new = new.select(*keys, F.array_join(F.transform("steps", lambda x: x["made"]), "/").alias("new_dir"))
-    return d.join(new, keys, "left").select(*keys, F.coalesce("new_dir", F.lit("")).alias("new_dir"))
+    # equal names share a place, so the paths needn't be made distinct and joined again
+    ranked = folder_ranks(steps, ["patient_old", "level", "parent"], "name")
+    made = F.when(F.col("level").isNotNull(), F.struct("level", F.concat("new_id", F.lit("_"), F.col("place").cast("string")).alias("made")))
+    new = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(made)).alias("steps"))
+    return new.select(*keys, F.array_join(F.transform("steps", lambda x: x["made"]), "/").alias("new_dir"))

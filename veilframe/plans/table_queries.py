@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.config import Policy
 from veilframe.functions import cohort, geometry, identity, raster, text
 from veilframe.operators import ordering, reports
-from veilframe.plans.registry import query, sql_uid, t
+from veilframe.plans.registry import dealt, query, sql_uid, t
 from veilframe.sources import mapping
 from veilframe.streaming import ingest
 
@@ -295,7 +295,7 @@ SELECT o_custkey, o_orderstatus || '/' || o_orderpriority AS rel_dir, 'P' || o_c
 def subdir_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t(spark, sf_dir, "orders")
     dirs = o.select(F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("new_id"), F.col("o_custkey").alias("patient_old"), F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("rel_dir"))
-    return ordering.renamed_folders(dirs).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
+    return ordering.renamed_folders(dealt(dirs, "patient_old"), dealt=True).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
 
 
 DEEP_LEVELS = ["o_orderstatus", "o_orderpriority", "substr(CAST(o_orderdate AS VARCHAR), 1, 4)", "substr(CAST(o_orderdate AS VARCHAR), 6, 2)", "CAST(o_orderkey % 7 AS VARCHAR)", "'Doe^Jane'"]
@@ -315,7 +315,7 @@ def subdir_rank_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = [F.expr(x.replace("VARCHAR", "STRING")) for x in DEEP_LEVELS]
     o = t(spark, sf_dir, "orders")
     dirs = o.select(F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("new_id"), F.col("o_custkey").alias("patient_old"), F.concat_ws("/", *levels).alias("rel_dir"))
-    return ordering.renamed_folders(dirs).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
+    return ordering.renamed_folders(dealt(dirs, "patient_old"), dealt=True).select(F.col("patient_old").alias("o_custkey"), "rel_dir", "new_dir")
 
 
 CONF = "CASE WHEN event_id % 9 = 0 THEN NULL ELSE abs(value) - floor(abs(value)) END"
