@@ -21,6 +21,9 @@ from veilframe.functions import geometry, text
 from veilframe.operators import kernels
 from veilframe.schema import HITS
 
+#: Slices that are examined at a time, where small ones would fill a piece by thousands.
+PIECE_ROWS = 256
+
 Hit = tuple[list[tuple[float, float]] | None, str, float | None]
 
 
@@ -114,7 +117,7 @@ def examined(slices: DataFrame, factory: Callable[[], Engine], policy: Policy) -
     kind = pa.list_(pa.struct([("points", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("text", pa.string()), ("conf", pa.float64())]))
 
     def run(batches):
-        for b in pieces(batches, "gray"):
+        for b in pieces(batches, "gray", rows=PIECE_ROWS):
             rows = b.to_pylist()
             images = [np.frombuffer(r["gray"], np.uint8).reshape(r["rows"], r["cols"]) if r["gray"] is not None else None for r in rows]
             count = [None if i is None else len(kernels.character_boxes(i, policy)) for i in images]

@@ -170,13 +170,16 @@ def detect_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection and decisions on magnified images with the engine that needs no model."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, detect.PIECE_ROWS) for b in batches for at in range(0, b.num_rows, detect.PIECE_ROWS)):
             gray = [zoomed(np.array(h, np.int32).reshape(SIDE, SIDE)).tobytes() for h in b.column("hu").to_pylist()]
             yield pa.RecordBatch.from_pydict({"instance_id": [str(i) for i in b.column("vec_id").to_pylist()], "gray": gray})
 
     n = SIDE * ZOOM
-    d = images(spark, sf_dir).mapInArrow(run, "instance_id string, gray binary").withColumns({"rows": F.lit(n), "cols": F.lit(n), "burned": F.col("instance_id").endswith("0")})
+    facts = {"rows": F.lit(n), "cols": F.lit(n), "burned": F.col("instance_id").endswith("0")}
+    slices = images(spark, sf_dir).mapInArrow(run, "instance_id string, gray binary").withColumns(facts)
+    # the side that only says what is asked has no pixels and no Python; a missing id is Python's word for it on both sides
+    d = t(spark, sf_dir, "embeddings").select(F.coalesce(F.col("vec_id").cast("string"), F.lit("None")).alias("instance_id")).withColumns(facts)
     d = d.withColumn("want", geometry.wanted(F.col("burned"), F.lit(True), POLICY))
-    d = d.join(detect.examined(d, detect.LineEngine, POLICY), "instance_id", "left")
+    d = d.join(detect.examined(slices, detect.LineEngine, POLICY), "instance_id", "left")
     d = detect.decided(d, POLICY)
     return d.select("instance_id", "detect_status", "bucket", "decision", "boxless_hits", "n_redacted_regions", "hit_text", F.to_json("rects").alias("rects"))
